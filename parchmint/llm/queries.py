@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchmint.llm import line_dedup, ngram_join
-from parchmint.llm.common import table
+from parchmint.llm import chunk_bpe, line_dedup, ngram_join, token_files
+from parchmint.llm.common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +45,18 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(ngram_join.real_id("id").alias("doc_id"), F.col("n").alias("n_shingles"), ngram_join.real_id("component").alias("component_id"))
 
 
+def op7_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "token_files")
+    token_files.write(table(spark, sf_dir, "documents").select("doc_id", "text"), folder)
+    return token_files.digests(spark, folder).select(ngram_join.real_id("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+def op8_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chunk_bpe.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    decimal = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
