@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchmint.llm import chunk_bpe, line_dedup, ngram_join, token_files
+from parchmint.llm import ann, chunk_bpe, line_dedup, mixing, ngram_join, order_minhash, quality, quotes, token_files, url_filter
 from parchmint.llm.common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,27 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(ngram_join.real_id("id").alias("doc_id"), F.col("n").alias("n_shingles"), ngram_join.real_id("component").alias("component_id"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.learned(docs, table(spark, sf_dir, "labels"))
+    return quality.scored(docs, model).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op4_chat_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quotes.formatted(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return found.select("conv_id", "turn", "role", "thread", "depth", "reply_to", "n_quotes", "n_linked", "far_conv", "far_turn", F.sha2("own_text", 256).alias("own_sha256"))
+
+
+def op5_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mixed(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.filtered(pages).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op7_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "token_files")
     token_files.write(table(spark, sf_dir, "documents").select("doc_id", "text"), folder)
@@ -57,6 +78,16 @@ def op8_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_adaptive_scan_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, F.col("vec_id") % 20 == 0)
+
+
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = order_minhash.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
