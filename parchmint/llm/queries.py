@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from parchmint.llm import ann, chunk_bpe, line_dedup, mixing, ngram_join, order_minhash, quality, quotes, token_files, url_filter
 from parchmint.llm.common import scratch, table
 
@@ -88,9 +89,46 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+OP5_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':0'), 1, 15))::BIGINT AS key
+  FROM documents
+), sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
+), weighed AS (
+  SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 + 1] AS weight FROM sources
+), levels AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (before), 0))::DOUBLE / (sum(weight) OVER (onward))::DOUBLE AS level
+  FROM weighed
+  WINDOW before AS (ORDER BY (3 * source_size)::DOUBLE / weight, source IS NULL, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+         onward AS (ORDER BY (3 * source_size)::DOUBLE / weight, source IS NULL, encode(source) ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+), aims AS (
+  SELECT source, source_size, least((3 * source_size)::DOUBLE, max(level) OVER () * weight) AS target FROM levels
+), budgets AS (
+  SELECT *, coalesce(floor(target)::BIGINT // nullif(source_size, 0), 0) AS epochs,
+         floor(target)::BIGINT - coalesce(floor(target)::BIGINT // nullif(source_size, 0), 0) * source_size AS rest
+  FROM aims
+), keyed AS (
+  SELECT source, key, sum(size)::BIGINT AS at_key,
+         (sum(sum(size)) OVER (PARTITION BY source ORDER BY key) - sum(size))::BIGINT AS ahead
+  FROM sized GROUP BY source, key
+)
+SELECT s.doc_id, s.size, b.source_size, b.target,
+       (b.epochs * s.size + CASE WHEN s.size = 0 THEN 0
+          ELSE s.size * least(greatest(b.rest - k.ahead, 0), k.at_key) // k.at_key END)::BIGINT AS taken
+FROM sized s JOIN budgets b ON s.source IS NOT DISTINCT FROM b.source
+             JOIN keyed k ON s.source IS NOT DISTINCT FROM k.source AND s.key = k.key
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if (name.startswith("op") or name == "pipeline") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op5_mixing_sources": OP5_SQL}
