@@ -40,6 +40,8 @@ from parchmint.llm.shingles import WordHashes, shingle_set
 ORDER_BITS = 22
 #: The most classes of one cluster in one block; a task holds two blocks.
 BLOCK = 1000
+#: Rows of the dealt clusters, 40 bytes each, that may be broadcast; with more, all texts are shuffled by id.
+BROADCAST_ROWS = 1_000_000
 MEMBERS = "id long, v long, g long, n long, prefix array<bigint>"
 
 
@@ -139,7 +141,8 @@ def near_classes(docs: DataFrame, percent: int = 80) -> DataFrame:
     tokens = groups.select("g", "n", F.explode("prefix").alias("token"))
     # One list for each shingle and band; a list of one group has nothing to compare.
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) - 1e-9)
-    lists = tokens.select("g", "token", F.explode(F.array(band, band + 1)).alias("band"))
+    # Dealt by shingle alone, so that a row moves once for both of its bands.
+    lists = tokens.repartition("token").select("g", "token", F.explode(F.array(band, band + 1)).alias("band"))
     counted = lists.withColumn("k", F.count("*").over(Window.partitionBy("token", "band"))).where("k > 1")
     lists = saved(counted, f"{path}/lists")
     score = lists.groupBy("g").agg(F.sum(F.least("k", F.lit(1000))).alias("score"))
@@ -156,8 +159,10 @@ def near_classes(docs: DataFrame, percent: int = 80) -> DataFrame:
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("hub", "v", "id", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     )
-    wanted = docs.select(id_or_least().alias("id"), F.col("text").cast("string").alias("text")).where("text is not null").join(clusters.select("id").distinct(), "id", "left_semi")
-    placed = dealt.join(wanted, "id").select("hub", "i", "j", "v", "text")
+    dealt = saved(dealt, f"{path}/dealt")
+    dealt = F.broadcast(dealt) if dealt.count() <= BROADCAST_ROWS else dealt  # else texts are shuffled by id
+    texts = docs.select(id_or_least().alias("id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    placed = texts.join(dealt, "id").select("hub", "i", "j", "v", "text")
 
     def verify(found: pa.Table) -> pa.Table:
         a, b = linked(found, percent)
