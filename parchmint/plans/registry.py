@@ -5,18 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from parchmint.plans import text_queries
+from parchmint.plans.dialect import DUCK, Dialect, Spark
 
 Query = Callable[[SparkSession, str], DataFrame]
+TWINS: dict[str, Callable[[Dialect], str]] = {"flagship": text_queries.flagship} | text_queries.QUERIES
+
+
+def runs(twin: Callable[[Dialect], str]) -> Query:
+    return lambda spark, sf_dir: spark.sql(twin(Spark(sf_dir)))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").agg(F.count("*").alias("n"))
+    return runs(text_queries.flagship)(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: runs(twin) for name, twin in TWINS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: twin(DUCK) for name, twin in TWINS.items()}
