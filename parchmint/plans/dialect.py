@@ -167,6 +167,13 @@ class Spark(Dialect):
     def collect(self, x: str, order: str) -> str:
         return f"transform(array_sort(collect_list(struct({order}, {x} AS x_))), e_ -> e_.x_)"
 
+    def collect_structs(self, item: str, order: str) -> str:
+        """Structs by rising `order`, which is their first field."""
+        return f"array_sort(collect_list({item}))"
+
+    def fixed(self, x: str, n: int) -> str:
+        return f"format_string('%.{n}f', {x})"
+
     def explode(self, source: str, xs: str, keep: str, name: str = "x") -> str:
         """Rows (keep, i, name): one for each element."""
         return f"SELECT {keep}, i, {name} FROM (SELECT {keep}, posexplode({xs}) AS (i, {name}) FROM {source})"
@@ -295,6 +302,12 @@ class Duck(Dialect):
     def collect(self, x: str, order: str) -> str:
         return f"list({x} ORDER BY {order})"
 
+    def collect_structs(self, item: str, order: str) -> str:
+        return f"list({item} ORDER BY {order})"
+
+    def fixed(self, x: str, n: int) -> str:
+        return f"printf('%.{n}f', {x})"
+
     def explode(self, source: str, xs: str, keep: str, name: str = "x") -> str:
         return f"SELECT {keep}, unnest(range(len(xs_))) AS i, unnest(xs_) AS {name} FROM (SELECT {keep}, {xs} AS xs_ FROM {source})"
 

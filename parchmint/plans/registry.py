@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parchmint.plans import text_queries
+from parchmint.plans import more_queries, text_queries
 from parchmint.plans.dialect import DUCK, Dialect, Spark
 
 Query = Callable[[SparkSession, str], DataFrame]
-TWINS: dict[str, Callable[[Dialect], str]] = {"flagship": text_queries.flagship} | text_queries.QUERIES
+TWINS: dict[str, Callable[[Dialect], str]] = {"flagship": text_queries.flagship} | text_queries.QUERIES | more_queries.QUERIES
 
 
 def runs(twin: Callable[[Dialect], str]) -> Query:
