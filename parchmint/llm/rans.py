@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-LANES, CHECKPOINT = 512, 64
+LANES, CHECKPOINT = 1024, 64
 SCALE_BITS = 20
 LOW = np.uint64(1 << 31)
 W32 = np.uint64(32)

@@ -16,6 +16,8 @@ one and encodes to the end id alone; a null doc_id comes before every other.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -151,14 +153,19 @@ def starts(spark: SparkSession, folder: str) -> DataFrame:
 
 def digests(spark: SparkSession, folder: str) -> DataFrame:
     """(id, start, n_tokens, ids_crc32) of every document, read back from the files."""
+    shared = spark.sparkContext.broadcast(read_table(spark, folder))
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lists = batch.column(4)
-        flat, offsets = lists.values.to_numpy().astype(np.uint32), lists.offsets.to_numpy()
-        sums = [rans.crc(flat[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        return pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(np.diff(offsets).astype(np.int64)), pa.array(sums, pa.int64())], names=["part", "block", "place", "id", "n_tokens", "ids_crc32"])
-
-    rows = read(spark, folder).mapInArrow(per_batch(step), "part int, block int, place int, id long, n_tokens long, ids_crc32 long")
-    # Within a block: its documents, as many as BLOCK_IDS ids hold at most.
-    ahead = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("part", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("ahead", ahead).join(starts(spark, folder), ["part", "block"]).select("id", (F.col("start") + F.col("ahead")).alias("start"), "n_tokens", "ids_crc32")
+        cells: tuple[list, ...] = ([], [], [], [], [], [])
+        for row in batch.to_pylist():
+            ids = unpacked(row, shared.value).astype("<u4").tobytes()
+            end = 0
+            for place, (name, n) in enumerate(zip(row["docs"], row["lengths"], strict=True)):
+                for column, x in zip(cells, (row["part"], row["block"], name, end, n, zlib.crc32(ids[4 * end : 4 * (end + n)])), strict=True):
+                    column.append(x)
+                end += n
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], names=["part", "block", "id", "ahead", "n_tokens", "ids_crc32"])
+
+    rows = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks").mapInArrow(few_rows(step), "part int, block int, id long, ahead long, n_tokens long, ids_crc32 long")
+    return rows.join(starts(spark, folder), ["part", "block"]).select("id", (F.col("start") + F.col("ahead")).alias("start"), "n_tokens", "ids_crc32")
