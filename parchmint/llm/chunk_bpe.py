@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchmint.llm.common import bytes_of, per_batch, scratch
+from parchmint.llm.common import bytes_of, keeping, per_batch, scratch
 from parchmint.llm.shingles import mix
 from parchmint.llm.tokenizing import Encoder, default_path, encoder
 
@@ -173,6 +173,7 @@ def shared_chunks(docs: DataFrame, path: str, most: int = SHARED) -> dict[bytes,
     return {bytes(r.h): bytes(r.ids) for r in once.mapInArrow(per_batch(encode), "h binary, ids binary").collect()}
 
 
+@keeping("text", results=("ids", "decoded"))
 def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """docs with ids (array<int>) and decoded (string) added."""
     scratch(docs.sparkSession, "chunk_bpe")

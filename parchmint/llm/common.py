@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -61,6 +62,30 @@ def per_batch(step: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callab
     return run
 
 
+def keeping(*needed: str, results: tuple[str, ...] = ()) -> Callable:
+    """For operators that take a table and return its rows with results added.
+
+    The operator sees the needed columns and, as one struct of a fresh name, all others; so no
+    other column can clash with what it uses inside. Columns come back in their order, results
+    after them; a column that has a result's name gives way to the result.
+    """
+
+    def wrap(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @functools.wraps(operator)
+        def run(rows: DataFrame, *args, **kwargs) -> DataFrame:
+            names = list(dict.fromkeys(rows.columns))
+            extra = [c for c in names if c not in needed and c not in results]
+            box = f"rest_{uuid.uuid4().hex}"
+            own = [F.col(f"`{c}`") for c in needed]
+            out = operator(rows.select(*own, F.struct(*[F.col(f"`{c}`") for c in extra]).alias(box)) if extra else rows.select(*own), *args, **kwargs)
+            back = [F.col(f"{box}.`{c}`").alias(c) if c in extra else F.col(f"`{c}`") for c in names if c not in results]
+            return out.select(*back, *results)
+
+        return run
+
+    return wrap
+
+
 def n_words(text: Column) -> Column:
     """How many runs of non-space a text has; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")

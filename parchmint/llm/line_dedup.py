@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchmint.llm.common import bytes_of, id_or_least, per_batch, saved, scratch
+from parchmint.llm.common import bytes_of, id_or_least, keeping, per_batch, saved, scratch
 
 MIN_CHARS, MIN_DOCS = 20, 3
 N_BATCHES, FAN_OUT = 4, 2
@@ -126,6 +126,10 @@ def dropped_lines(docs: DataFrame, batches: int = N_BATCHES) -> DataFrame:
     return gone.groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
 
 
+RESULTS = ("kept_text", "n_lines", "n_dropped", "kept_sha256")
+
+
+@keeping("doc_id", "text", results=RESULTS)
 def dedup_lines(docs: DataFrame, batches: int = N_BATCHES) -> DataFrame:
     """docs with kept_text, n_lines, n_dropped and kept_sha256 added.
 
@@ -155,6 +159,3 @@ def dedup_lines(docs: DataFrame, batches: int = N_BATCHES) -> DataFrame:
     joined = rows.join(gone.withColumnRenamed("id", "_id"), "_id", "left").drop("_id")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema), "kept_text string", "n_lines long", "n_dropped long", "kept_sha256 string"])
     return joined.mapInArrow(per_batch(step), schema)
-
-
-RESULTS = ("kept_text", "n_lines", "n_dropped", "kept_sha256")

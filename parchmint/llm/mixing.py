@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parchmint.llm.common import SPACE, n_words, saved, scratch
+from parchmint.llm.common import SPACE, keeping, n_words, saved, scratch
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -84,6 +84,10 @@ def cuts(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_E
     return aims.join(cut, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
 
 
+RESULTS = ("size", "source_size", "target", "epochs", "taken")
+
+
+@keeping("doc_id", "text", "source", results=RESULTS)
 def mixed(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_EPOCHS) -> DataFrame:
     """docs (doc_id, text, source and any others) with size, source_size, target, epochs and taken added."""
     sized = docs.select("source", key_of(F.col("doc_id"), seed).alias("key"), n_words(F.col("text")).alias("size"))
@@ -97,15 +101,13 @@ def mixed(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, mo
     return joined.select(*names, "size", "source_size", "target", F.col("epochs").cast("long").alias("epochs"), (F.col("epochs") * F.col("size") + more).cast("long").alias("taken"))
 
 
-RESULTS = ("size", "source_size", "target", "epochs", "taken")
-
-
 def first_words(text: Column, n: Column) -> Column:
     """The text up to the end of its n-th word, its white space as it was."""
     pieces = F.split(text, f"(?<=[^{SPACE}])(?=[{SPACE}])")
     return F.array_join(F.slice(pieces, F.lit(1), n.cast("int")), "")
 
 
+@keeping("doc_id", "text", "source")
 def materialized(docs: DataFrame, seed: int = 0) -> DataFrame:
     """The mix itself: each document as often as it is taken, the one at a cut with its first words."""
     names = docs.columns

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parchmint.llm.common import NULL_ID, SPACE, bytes_of, id_or_least, per_batch, saved, scratch
+from parchmint.llm.common import NULL_ID, SPACE, bytes_of, id_or_least, keeping, per_batch, saved, scratch
 from parchmint.llm.components import components
 from parchmint.llm.segments import summed
 from parchmint.llm.shingles import WordHashes, shingle_set
@@ -180,6 +180,7 @@ def real_id(name: str) -> Column:
     return F.when(F.col(name) != NULL_ID, F.col(name))
 
 
+@keeping("doc_id", "text")
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of docs without near copies: of each class the row with the least id.
 

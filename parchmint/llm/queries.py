@@ -103,7 +103,7 @@ WITH sized AS (
 ), weighed AS (
   SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 + 1] AS weight FROM sources
 ), levels AS (
-  SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (before), 0))::DOUBLE / (sum(weight) OVER (onward))::DOUBLE AS level
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER before, 0))::DOUBLE / (sum(weight) OVER onward)::DOUBLE AS level
   FROM weighed
   WINDOW before AS (ORDER BY (3 * source_size)::DOUBLE / weight, source IS NULL, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
          onward AS (ORDER BY (3 * source_size)::DOUBLE / weight, source IS NULL, encode(source) ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)

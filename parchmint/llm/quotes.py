@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parchmint.llm.common import LOWER, UPPER, saved, scratch
+from parchmint.llm.common import LOWER, UPPER, keeping, saved, scratch
 
 STRETCH, SALTS = 4096, 16
 ROUNDS = 64
@@ -103,6 +103,10 @@ def threads(replies: DataFrame, path: str) -> DataFrame:
     raise RuntimeError("replies did not settle")
 
 
+RESULTS = ("own_text", "n_quotes", "n_linked", "reply_to", "thread", "depth", "far_conv", "far_turn")
+
+
+@keeping("conv_id", "turn", "text", results=RESULTS)
 def formatted(conversations: DataFrame) -> DataFrame:
     """conversations (conv_id, turn, text and any others), one row for each message.
 
@@ -124,6 +128,3 @@ def formatted(conversations: DataFrame) -> DataFrame:
     out = rows.join(ends, rows["conv_id"].eqNullSafe(F.col("_c")) & (rows["turn"] == F.col("_t")), "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     return out.select(*kept, "own_text", zero("n_quotes"), zero("n_linked"), "reply_to", F.coalesce("thread", "turn").alias("thread"), zero("depth"), F.col("far.to_conv").alias("far_conv"), F.col("far.to_turn").alias("far_turn"))
-
-
-RESULTS = ("own_text", "n_quotes", "n_linked", "reply_to", "thread", "depth", "far_conv", "far_turn")

@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from parchmint.llm.common import LOWER, UPPER, per_batch, scratch
+from parchmint.llm.common import LOWER, UPPER, keeping, per_batch, scratch
 
 NGRAMS = (3, 4, 5)
 BUCKETS = 1 << 15
@@ -139,13 +139,17 @@ def trained(table: Iterable[tuple[str, str]] | None = None, rules: Iterable[tupl
     return Filter(by_host, weights, bias)
 
 
-def filtered(pages: DataFrame, model: Filter | None = None, url: str = "url") -> DataFrame:
+RESULTS = ("host", "path", "rule", "score", "verdict")
+
+
+@keeping("url", results=RESULTS)
+def filtered(pages: DataFrame, model: Filter | None = None) -> DataFrame:
     """pages with host, path, rule, score and verdict added."""
     scratch(pages.sparkSession, "url_filter")
     shared = pages.sparkSession.sparkContext.broadcast(model or trained())
-    new = ("host", "path", "rule", "score", "verdict")
+    new = RESULTS
     names = [c for c in pages.columns if c not in new]
-    rows = pages.select(*[pages[c] for c in names], pages[url].cast("string").alias("_url"))
+    rows = pages.select(*[pages[c] for c in names], pages["url"].cast("string").alias("_url"))
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         parts = [host_path(u) for u in batch.column(batch.num_columns - 1).to_pylist()]
@@ -157,5 +161,7 @@ def filtered(pages: DataFrame, model: Filter | None = None, url: str = "url") ->
     return rows.mapInArrow(per_batch(step), schema)
 
 
+@keeping("url")
 def allowed(pages: DataFrame, model: Filter | None = None) -> DataFrame:
-    return filtered(pages, model).where("verdict = 'allow'").select(*pages.columns)
+    """The rows of pages whose URLs pass."""
+    return filtered(pages, model).where("verdict = 'allow'")
