@@ -2,10 +2,11 @@
 
 Symbols are runs of non-space cut to CUT code points (so that text without spaces has many).
 The k-mers are K symbols long (fewer symbols make one k-mer). Equal k-mers of a text are numbered
-by occurrence, and every numbered k-mer is hashed. The SKETCH least hashes are selected, put back
-into text order, and each TUPLE neighbours in that order are hashed to one element of the
-signature. Elements thus agree where texts share k-mers in the same order, which is what a small
-edit distance means; moved blocks and shuffled words change them.
+by occurrence, and every numbered k-mer is hashed. The SKETCH least hashes are selected; each two
+neighbours among them, by hash and so anywhere in the text, form a tuple that keeps the order
+they have in the text and is hashed to one element of the signature. Elements thus agree where
+texts share k-mers in the same order, which is what a small edit distance means; shuffled words
+change them all, and moved blocks those whose order they turn.
 
 Everything happens within a row, in time n log n of its length: occurrence numbers come from
 sorting (k-mer, place) and counting through each run of equal k-mers.
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from parchmint.llm.common import NULL_ID, SPACE, id_or_least, saved, scratch
 
 K, CUT = 2, 12
-SKETCH, TUPLE = 64, 2
+SKETCH = 64
 #: Bits of a place in a text; a Spark string has fewer symbols.
 PLACE_BITS = 30
 #: Ranges of doc_id: at most so many, hence a bounded broadcast, and so wide at least.
@@ -44,10 +45,11 @@ def with_signature(rows: DataFrame, text: str, name: str) -> DataFrame:
         # Where runs of equal k-mers begin, then 1, 2, ... through each.
         ("_b", F.expr(f"filter(transform(_s, (x, i) -> if(i = 0 or shiftright(x, {PLACE_BITS}) <> shiftright(get(_s, i - 1), {PLACE_BITS}), i, -1)), i -> i >= 0)")),
         ("_o", F.expr("flatten(transform(_b, (b, j) -> sequence(1, coalesce(get(_b, j + 1), size(_s)) - b)))")),
-        # The least numbered k-mers by hash, each with its place, back in text order.
+        # The least numbered k-mers by hash, each with its place.
         ("_h", F.expr(f"zip_with(_s, _o, (x, o) -> struct(xxhash64(shiftright(x, {PLACE_BITS}), o) as h, x & {place}L as i))")),
-        ("_t", F.expr(f"transform(array_sort(transform(slice(array_sort(_h), 1, {SKETCH}), e -> struct(e.i as i, e.h as h))), e -> e.h)")),
-        (name, F.expr(f"array_sort(array_distinct(transform(slice(_t, 1, greatest(size(_t) - {TUPLE - 1}, least(size(_t), 1))), (h, i) -> xxhash64(h{''.join(f', get(_t, i + {j})' for j in range(1, TUPLE))}) & 4294967295L)))")),
+        ("_m", F.expr(f"slice(array_sort(_h), 1, {SKETCH})")),
+        # Neighbours by hash stand anywhere in the text; each pair is hashed in the order it has there.
+        (name, F.expr("array_sort(array_distinct(transform(slice(_m, 1, greatest(size(_m) - 1, least(size(_m), 1))), (e, r) -> if(coalesce(get(_m, r + 1).i < e.i, false), xxhash64(get(_m, r + 1).h, e.h), xxhash64(e.h, get(_m, r + 1).h)) & 4294967295L)))")),
     ]
     for column, value in steps:
         rows = rows.withColumn(column, value)
