@@ -53,7 +53,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quotes.formatted(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return quote_digest(quotes.formatted(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
+
+
+def quote_digest(found: DataFrame) -> DataFrame:
     return found.select("conv_id", "turn", "role", "thread", "depth", "reply_to", "n_quotes", "n_linked", "far_conv", "far_turn", F.sha2("own_text", 256).alias("own_sha256"))
 
 
@@ -93,6 +96,66 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+OP4_SQL = r"""
+WITH RECURSIVE parts AS (
+  SELECT DISTINCT conv_id, turn, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM conversations
+), raws AS (
+  SELECT conv_id, turn, text, unnest(ls) AS raw, unnest(range(len(ls))) AS i FROM parts
+), leads AS (
+  SELECT *, regexp_extract(raw, '^[ \t>]*') AS lead FROM raws
+), leveled AS (
+  SELECT *, length(lead) - length(replace(lead, '>', '')) AS level,
+         CASE WHEN contains(lead, '>') THEN regexp_replace(raw, '^[ \t>]*>', '') ELSE raw END AS body FROM leads
+), kinds AS (
+  SELECT *, CASE WHEN level = 0 AND regexp_full_match(body, '[ \t\r\f\x0B]*') THEN -1 ELSE level END AS kind FROM leveled
+), marks AS (
+  SELECT *, CASE WHEN lag(kind) OVER (PARTITION BY conv_id, turn, text ORDER BY i) = kind THEN 0 ELSE 1 END AS new FROM kinds
+), runs AS (
+  SELECT *, sum(new) OVER (PARTITION BY conv_id, turn, text ORDER BY i) - 1 AS place FROM marks
+), own AS (
+  SELECT conv_id, turn, text,
+         regexp_replace(regexp_replace(coalesce(string_agg(raw, chr(10) ORDER BY i) FILTER (WHERE level = 0), ''), '^[ \t\r\f\x0B\n]+', ''), '[ \t\r\f\x0B\n]+$', '') AS own_text
+  FROM runs GROUP BY conv_id, turn, text
+), raw_passages AS (
+  SELECT conv_id, turn, text, place, any_value(kind) AS level, string_agg(body, ' ' ORDER BY i) AS body
+  FROM runs WHERE kind >= 0 GROUP BY conv_id, turn, text, place
+  UNION ALL SELECT conv_id, turn, text, -1, 0, own_text FROM own
+), passages AS (
+  SELECT conv_id, turn, text, place, level,
+         trim(translate(regexp_replace(body, '[\x20\x09-\x0D]+', ' ', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS body
+  FROM raw_passages
+), quotes AS (SELECT * FROM passages WHERE level > 0 AND body <> '')
+, originals AS (SELECT DISTINCT conv_id, turn, body FROM passages WHERE level = 0 AND body <> '')
+, inner_links AS (
+  SELECT q.conv_id, q.turn, q.text, q.place, q.level, q.body, max(o.turn) AS near
+  FROM quotes q LEFT JOIN originals o ON o.conv_id IS NOT DISTINCT FROM q.conv_id AND o.body = q.body AND o.turn < q.turn
+  GROUP BY ALL
+), links AS (
+  SELECT l.conv_id, l.turn, l.text, l.place, l.level, l.near, min(CASE WHEN o.body IS NOT NULL THEN struct_pack(c := o.conv_id, t := o.turn) END) AS far
+  FROM inner_links l LEFT JOIN originals o ON l.near IS NULL AND o.body = l.body AND o.conv_id IS NOT NULL AND o.turn IS NOT NULL AND o.conv_id IS DISTINCT FROM l.conv_id
+  GROUP BY l.conv_id, l.turn, l.text, l.place, l.level, l.near
+), per_message AS (
+  SELECT conv_id, turn, text, count(*) AS n_quotes, count(*) FILTER (WHERE near IS NOT NULL OR far IS NOT NULL) AS n_linked,
+         arg_min(near, level * 1000000 + place) FILTER (WHERE near IS NOT NULL) AS reply_to,
+         arg_min(far, level * 1000000 + place) FILTER (WHERE far IS NOT NULL) AS far
+  FROM links GROUP BY conv_id, turn, text
+), replies AS (
+  SELECT conv_id, turn, min(reply_to) AS reply_to FROM per_message WHERE reply_to IS NOT NULL GROUP BY conv_id, turn
+), climb AS (
+  SELECT conv_id, turn, reply_to AS up, 1 AS depth FROM replies
+  UNION ALL SELECT c.conv_id, c.turn, r.reply_to, c.depth + 1 FROM climb c JOIN replies r ON r.conv_id IS NOT DISTINCT FROM c.conv_id AND r.turn = c.up
+), tops AS (
+  SELECT conv_id, turn, arg_max(up, depth) AS thread, max(depth) AS depth FROM climb GROUP BY conv_id, turn
+)
+SELECT c.conv_id, c.turn, c.role, coalesce(t.thread, c.turn) AS thread, coalesce(t.depth, 0)::BIGINT AS depth, p.reply_to,
+       coalesce(p.n_quotes, 0) AS n_quotes, coalesce(p.n_linked, 0) AS n_linked, p.far.c AS far_conv, p.far.t AS far_turn, sha256(o.own_text) AS own_sha256
+FROM conversations c
+JOIN own o ON o.conv_id IS NOT DISTINCT FROM c.conv_id AND o.turn IS NOT DISTINCT FROM c.turn AND o.text IS NOT DISTINCT FROM c.text
+LEFT JOIN per_message p ON p.conv_id IS NOT DISTINCT FROM c.conv_id AND p.turn IS NOT DISTINCT FROM c.turn AND p.text IS NOT DISTINCT FROM c.text
+LEFT JOIN tops t ON t.conv_id IS NOT DISTINCT FROM c.conv_id AND t.turn = c.turn
+"""
+
+
 OP5_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
@@ -131,4 +194,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op5_mixing_sources": OP5_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op4_chat_quotation_linking": OP4_SQL, "op5_mixing_sources": OP5_SQL}

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from parchmint.llm import ann, mixing, ngram_join, quality, quotes, url_filter
+from parchmint.llm import ann, mixing, ngram_join, quality, queries, quotes, url_filter
 from parchmint.llm.components import components
 from tests.conftest import ROOT, SF
 
@@ -45,6 +45,28 @@ def test_quotes(spark):
     assert quotes.formatted(df.where("false")).count() == 0
 
 
+def test_quotes_against_sql(spark):
+    import duckdb
+
+    rng = np.random.default_rng(4)
+    bodies = ["alpha beta", "Gamma  delta", "epsilon", "zeta\neta", "theta\n\niota"]
+    rows = []
+    for c in range(30):
+        for t in range(12):
+            quote = str(rng.choice(bodies))
+            depth = int(rng.integers(0, 3))
+            lines = ["> " * depth + x for x in quote.split("\n")] + ([str(rng.choice(bodies))] if rng.random() < 0.6 else [])
+            rows.append((c % 20, t, "user", "\n".join(lines)))
+    df = spark.createDataFrame(rows + TALK, "conv_id long, turn long, role string, text string")
+    digest = queries.quote_digest(quotes.formatted(df))
+    conversations = df.toPandas().astype({"conv_id": "Int64", "turn": "Int64"})  # noqa: F841
+    con = duckdb.connect()
+    con.register("conversations", conversations)
+    want = con.sql(f"SELECT {', '.join(digest.columns)} FROM ({queries.OP4_SQL})").fetchall()
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(tuple, digest.collect()), key=key) == sorted(want, key=key)
+
+
 def test_quotes_take_the_latest_earlier_turn(spark, monkeypatch):
     monkeypatch.setattr(quotes, "STRETCH", 4)
     rows = [(1, k, "same words" if k % 3 == 0 else "> same words\nme") for k in range(20)]
