@@ -34,10 +34,15 @@ def repaired(d: Dialect, x: str) -> str:
 
 def general(d: Dialect, x: str) -> str:
     """repaired, with common misread words and addresses mended; not stripped."""
-    x = basic(d, x)
+    return lines_joined(d, common_words(d, basic(d, x)))
+
+
+def common_words(d: Dialect, x: str) -> str:
+    """Texts without any of the misread words are left after one look."""
+    fixed = x
     for wrong, right in lex.COMMON_WORDS:
-        x = d.words(x, wrong, right)
-    return lines_joined(d, x)
+        fixed = d.words(fixed, wrong, right)
+    return d.when((d.like(x, "|".join(w for w, _ in lex.COMMON_WORDS)), fixed), other=x)
 
 
 def section_steps(d: Dialect, lines: str, begin: str, end: str, name: str = "") -> list[tuple[str, str]]:

@@ -67,11 +67,13 @@ class Dialect:
 class Spark(Dialect):
     name = "spark"
 
-    def __init__(self, sf_dir: str = "") -> None:
-        self.sf_dir = sf_dir
+    def __init__(self, sf_dir: str = "", width: Callable[[str], int] = lambda path: 0) -> None:
+        self.sf_dir, self.width = sf_dir, width
 
     def table(self, name: str) -> str:
-        return f"parquet.`{self.sf_dir}/{name}.parquet`"
+        path = f"{self.sf_dir}/{name}.parquet"
+        spread = self.width(path)
+        return f"(SELECT /*+ REPARTITION({spread}) */ * FROM parquet.`{path}`)" if spread else f"parquet.`{path}`"
 
     def lit(self, s: str) -> str:
         return "'" + s.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n").replace("\t", "\\t") + "'"
@@ -161,6 +163,10 @@ class Spark(Dialect):
     def distinct(self, xs: str) -> str:
         return f"array_distinct({xs})"
 
+    def common(self, xs: str, ys: str) -> str:
+        """What both lists hold, each once."""
+        return f"array_intersect({xs}, {ys})"
+
     def translate(self, x: str, a: str, b: str) -> str:
         return f"translate({x}, {self.lit(a)}, {self.lit(b)})"
 
@@ -291,6 +297,9 @@ class Duck(Dialect):
     def has(self, xs: str, x: str) -> str:
         return f"list_contains({xs}, {x})"
 
+    def common(self, xs: str, ys: str) -> str:
+        return f"list_intersect({xs}, {ys})"
+
     def distinct(self, xs: str) -> str:
         """In order of first occurrence, as Spark's array_distinct."""
         v, i = self.unique(), self.unique()

@@ -45,7 +45,9 @@ def t5_table_repair(d: Dialect) -> str:
 
 
 def t7_general_repair(d: Dialect) -> str:
-    return f"SELECT doc_id, {repair.general(d, 'text')} AS fixed FROM {fixtures.damaged(d)}"
+    both = f"(SELECT * FROM {docs(d)} UNION ALL SELECT * FROM {fixtures.damaged(d)})"
+    rows = steps(both, ("basic_", repair.basic(d, "text")), ("words_", repair.common_words(d, "basic_")))
+    return f"SELECT doc_id, {repair.lines_joined(d, 'words_')} AS fixed FROM {rows}"
 
 
 def t8_indonesian_repair(d: Dialect) -> str:

@@ -7,10 +7,12 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-#: Settings that change results; everything else is the cluster's business.
+#: Settings that results or plans depend on; everything else is the cluster's business.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # The filter it infers below an explode repeats the exploded expression, once for each element of its inputs.
+    "spark.sql.optimizer.excludedRules": "org.apache.spark.sql.catalyst.optimizer.InferFiltersFromGenerate",
 }
 
 
