@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parchmint.llm.common import bytes_of, per_batch, scratch
+from parchmint.llm.common import bytes_of, keeping, per_batch, scratch
 
 TERMS, LATENT = 4096, 48
-SAMPLE, NEIGHBOURS, SHARPEN = 1200, 15, 4.0
+SAMPLE, NEIGHBOURS, SHARPEN = 800, 15, 4.0
 PRIOR = 0.5
 BLOCK = 512
 WORD_TERMS = 16
@@ -120,11 +120,12 @@ def fitted(rows: np.ndarray, labels: np.ndarray, share: float) -> Model:
     seen = (rows[:, :TERMS] > 0).sum(0)
     weights = np.ones(WIDTH, dtype=np.float32)
     weights[:TERMS] = np.log((1 + len(rows)) / (1 + seen)) + 1
-    x = (rows * weights).astype(np.float64)
+    x = rows * weights
     # Left singular vectors from the small Gram matrix; the sample bounds its side.
-    values, left = np.linalg.eigh(x @ x.T)
-    top = np.argsort(-values)[: min(LATENT, int((values > values.max() * 1e-9).sum()))]
-    basis = (x.T @ (left[:, top] / values[top])).astype(np.float32) * np.sqrt(values[top]).astype(np.float32)
+    values, left = np.linalg.eigh((x @ x.T).astype(np.float64))
+    top = np.argsort(-values)[: min(LATENT, int((values > values.max() * 1e-6).sum()))]
+    basis = x.T @ (left[:, top] / np.sqrt(values[top])).astype(np.float32)
+    del x, left
     ones = (labels == 1).mean()
     model = Model(weights, basis, np.zeros((0, 1), np.float32), labels, share, 1.0)
     model.vectors = model.latent(rows)
@@ -154,12 +155,16 @@ def learned(docs: DataFrame, labels: DataFrame, label: str = "quality", sample:
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in rows], pa.binary())], names=["doc_id", "label", "terms"])
 
     found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(wanted, "doc_id").select("doc_id", "label", "text").mapInArrow(per_batch(step), "doc_id long, label int, terms binary")
-    rows = [r for v in (0, 1) for r in found.where(F.col("label") == v).orderBy(key, "doc_id", "terms").limit(sample).collect()]
-    y = np.array([r.label for r in rows], dtype=np.int64)
-    x = np.array([np.frombuffer(r.terms, dtype="<f2") for r in rows], dtype=np.float32).reshape(len(rows), WIDTH)
-    return fitted(x, y, share)
+    y: list[int] = []
+    x = np.zeros((2 * sample, WIDTH), dtype=np.float32)
+    for v in (0, 1):
+        for r in found.where(F.col("label") == v).orderBy(key, "doc_id", "terms").limit(sample).toLocalIterator():
+            x[len(y)] = np.frombuffer(r.terms, dtype="<f2")
+            y.append(v)
+    return fitted(x[: len(y)], np.array(y, dtype=np.int64), share)
 
 
+@keeping("text", results=("score", "predicted"))
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """docs with score (0 to 1) and predicted (0 or 1) added; only text is looked at."""
     scratch(docs.sparkSession, "quality")
