@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchmint.llm.common import bytes_of, keeping, per_batch, scratch
+from parchmint.llm.common import bytes_of, keeping, per_batch, released, scratch
 from parchmint.llm.shingles import mix
 from parchmint.llm.tokenizing import Encoder, default_path, encoder
 
@@ -144,6 +144,8 @@ def shared_chunks(docs: DataFrame, path: str, most: int = SHARED) -> dict[bytes,
                 yield counted(found)
                 found = {}
         yield counted(found)
+        found.clear()
+        released()
 
     def counted(found: dict[bytes, list[int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({"h": pa.array(found.keys(), pa.binary()), "k": pa.array([x[0] for x in found.values()], pa.int64()), "size": pa.array([x[1] for x in found.values()], pa.int64())})
@@ -192,6 +194,9 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
                 ids = base.ids(b"".join(found)).astype(np.int32)
                 decoded = [base.decode(ids[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids)), pa.array(decoded, pa.string())], names=[*names, "ids", "decoded"])
+        base.words.clear()
+        by_chunk.kept.clear()
+        released()
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema), "ids array<int>", "decoded string"])
     return rows.mapInArrow(run, schema)

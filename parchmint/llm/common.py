@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import tempfile
 import uuid
@@ -28,7 +29,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 
     Arrow batches are kept small as well, so that long texts don't fill a Python worker.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         root = tempfile.mkdtemp(prefix="parchmint-")
@@ -51,6 +52,14 @@ def bytes_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def released() -> None:
+    """Give memory back at the end of a task: idle Python workers stay beside the executor's JVM."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def per_batch(step: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A mapInArrow function that applies step to each batch that has rows."""
 
@@ -58,6 +67,7 @@ def per_batch(step: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callab
         for batch in batches:
             if batch.num_rows and (out := step(batch)) is not None:
                 yield out
+        released()
 
     return run
 

@@ -56,7 +56,7 @@ def shingle_order(docs: DataFrame) -> np.ndarray:
     def indexes(batch: pa.RecordBatch) -> np.ndarray:
         hashes = WordHashes()
         sets = [shingle_set(x, hashes) for x in bytes_of(batch.column(0))]
-        return (np.concatenate(sets) & mask).astype(np.int64) if sets else np.empty(0, np.int64)
+        return (np.concatenate(sets) & mask).astype(np.int32) if sets else np.empty(0, np.int32)
 
     return summed(docs.select(F.col("text").cast("string")), indexes, ORDER_BITS)
 

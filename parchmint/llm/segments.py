@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from parchmint.llm.common import released
+
 N_SEGMENTS = 64
 SCHEMA = "segment int, counts binary"
 
@@ -23,18 +25,23 @@ def summed(rows: DataFrame, indexes: Callable[[pa.RecordBatch], np.ndarray], bit
     part = size // N_SEGMENTS
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held, n = np.zeros(size, dtype=np.int64), [], 0
+        total, held, n = np.zeros(size, dtype=np.int32), [], 0
         for batch in batches:
             held.append(indexes(batch))
             n += len(held[-1])
-            if n >= size:
-                total += np.bincount(np.concatenate(held), minlength=size)
+            if n >= size // 2:
+                add_counts(total, held)
                 held, n = [], 0
         if held:
-            total += np.bincount(np.concatenate(held), minlength=size)
+            add_counts(total, held)
+        released()
         if total.any():
             yield from packed({k: total[k * part : (k + 1) * part] for k in range(N_SEGMENTS)})
 
+    def add_counts(total: np.ndarray, held: list[np.ndarray]) -> None:
+        at, k = np.unique(np.concatenate(held), return_counts=True)
+        total[at] += k.astype(np.int32)
+
     def packed(segments: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for k, counts in segments.items():
             small = counts.astype(np.int32) if counts.max(initial=0) < 2**31 else counts

@@ -48,7 +48,7 @@ def separable(path: str) -> bool:
 
 
 #: Bytes of text that are worked on at once.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def pieces(text: bytes, most: int) -> list[bytes]:
