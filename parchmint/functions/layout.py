@@ -221,3 +221,14 @@ def formatted(d: Dialect, x: str, lines: str, kind: str) -> str:
     }
     return kept_characters(d, d.when(*((f"{kind} = '{k}'", v) for k, v in by.items()), other=default_formatting(d, lines)))
 
+
+
+def organized(d: Dialect, lines: str, image_type: str) -> str:
+    """Lines organised by image type; receipts and identity cards have steps of their own."""
+    return d.when((f"{image_type} IN ('document', 'book_page')", document(d, lines)), (f"{image_type} = 'form'", form(d, lines, True)), (f"{image_type} = 'table'", piped_table(d, lines)), other=default_organization(d, lines))
+
+
+def word_edges(d: Dialect, line: str) -> str:
+    """Places in a line where words begin or end."""
+    space = lambda k: f"coalesce({d.like(f'substr({line}, CAST({k} AS int), 1)', rf'[{WS}]')} OR {k} < 1 OR {k} > {d.len(line)}, true)"
+    return d.filter(d.range(f"{d.len(line)} + 1"), lambda k: f"({space(k)}) <> ({space(f'({k} + 1)')})")

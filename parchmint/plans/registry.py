@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parchmint.plans import more_queries, text_queries
+from parchmint.plans import more_queries, row_queries, text_queries
 from parchmint.plans.dialect import DUCK, Dialect, Spark
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,7 +38,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {name: runs(twin) for name, twin in TWINS.items()}
+    return {name: runs(twin) for name, twin in TWINS.items()} | row_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:

@@ -262,4 +262,26 @@ def e11_ktp(d: Dialect) -> str:
     return _fields(fixtures.id_cards(d), {k: f"coalesce({extract.found(d, 'text', p)}, {d.strip('text')})" for k, p in extract.KTP.items()})
 
 
-QUERIES = {name: f for name, f in list(globals().items()) if callable(f) and name[0] in "teln" and name[1].isdigit() or name == "a3_word_frequency"}
+def l1_organized(d: Dialect) -> str:
+    typed = f"(SELECT doc_id, text, CASE doc_id % 4 WHEN 0 THEN 'document' WHEN 1 THEN 'form' WHEN 2 THEN 'table' ELSE 'mixed' END AS image_type FROM {d.table('documents')})"
+    return f"SELECT doc_id, {layout.organized(d, 'lines_', 'image_type')} AS organized FROM {lined(d, typed)}"
+
+
+def e1_structured(d: Dialect) -> str:
+    """One column for each kind of document: what its extractor finds, null for other kinds."""
+    every = f"(SELECT doc_id, 'id_card' AS kind, text FROM {fixtures.id_cards(d)} UNION ALL SELECT doc_id, 'receipt' AS kind, text FROM {fixtures.receipts(d)} UNION ALL SELECT doc_id, 'form' AS kind, text FROM {fixtures.forms(d)})"
+    only = lambda kind, x: f"CASE WHEN kind = '{kind}' THEN {x} END"
+    card, slip, form = extract.id_card_fields(d, "text"), extract.receipt_fields(d, "text"), extract.form_fields(d, "text")
+    return f"SELECT doc_id, kind, {only('id_card', card['name'])} AS name, {only('id_card', card['gender'])} AS gender, {only('receipt', slip['merchant'])} AS merchant, {only('receipt', slip['total'])} AS total, {only('form', form['company'])} AS company, {only('form', form['email'])} AS email FROM {every}"
+
+
+def a4_boundaries(d: Dialect) -> str:
+    """Places where words begin or end on at least two fifths of a table's lines."""
+    spaced = f"(SELECT doc_id, replace(text, ' | ', '     ') AS text FROM {fixtures.tables(d)})"
+    sized = f"(SELECT doc_id, {d.split('text', chr(10))} AS ls FROM {spaced})"
+    each = f"(SELECT doc_id, n, {layout.word_edges(d, 'line')} AS ps FROM ({d.explode(f'(SELECT doc_id, ls, {d.size(chr(108) + chr(115))} AS n FROM {sized})', 'ls', 'doc_id, n', 'line')}))"
+    votes = f"(SELECT doc_id, n, p, count(*) AS k FROM ({d.explode(each, 'ps', 'doc_id, n', 'p')}) GROUP BY doc_id, n, p)"
+    return f"SELECT doc_id, CAST(p AS bigint) AS place, k FROM {votes} WHERE k >= n * {d.num(0.4)}"
+
+
+QUERIES = {name: f for name, f in list(globals().items()) if callable(f) and name[0] in "teln" and name[1].isdigit() or name in ("a3_word_frequency", "a4_boundaries")}

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -31,3 +33,12 @@ def ready(spark: SparkSession) -> SparkSession:
     if root not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
     return spark
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in spark.checkpoint.dir; in one of the machine's own only where that isn't set, as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        root = tempfile.mkdtemp(prefix="parchmint-")
+        spark.sparkContext.setCheckpointDir(root)
+    return f"{root.rstrip('/')}/parchmint/{name}-{uuid.uuid4().hex}"
