@@ -167,6 +167,12 @@ def i14_camera_and_corrections(d: Dialect) -> str:
     return f"SELECT image_id, l_partkey, l_suppkey, {d.join(images.camera_issues(d), ',')} AS issues, {d.join(images.corrections(d), ',')} AS corrections FROM {more}"
 
 
+def i16_hash(d: Dialect) -> str:
+    """A hash of every other pixel, in reading order: equal images have equal ones."""
+    some = f"(SELECT image_id, y, x, {d.cast('v', d.text)} AS t FROM {made.pixels(d)} WHERE (y * 8 + x) % 2 = 0)"
+    return f"SELECT image_id, md5({d.join(d.collect('t', 'y, x'), ',')}) AS pixel_hash FROM {some} GROUP BY image_id"
+
+
 def i17_points(d: Dialect) -> str:
     k = f"(SELECT l_orderkey AS image_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS k, l_partkey % 300 AS px, l_suppkey * 7 % 400 AS py FROM {d.table('lineitem')})"
     return images.ordered_points(d, f"(SELECT image_id, k, px, py FROM (SELECT *, count(*) OVER (PARTITION BY image_id) AS many FROM {k}) WHERE many >= 4 AND k <= 4)")
