@@ -105,8 +105,11 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def placed(rows: DataFrame, shared, probes: int = 0) -> DataFrame:
-    """(list, vec_id, vector): each query once for each list it probes; without probes, each row once."""
+def placed(rows: DataFrame, shared, probes: int = 0, sizes: np.ndarray | None = None, least: int = 0) -> DataFrame:
+    """(list, vec_id, vector): each query once for each list it probes; without probes, each row once.
+
+    sizes: of the lists. A query probes more lists than probes if those hold fewer than `least` vectors.
+    """
 
     def run(batches):
         index = shared.value
@@ -114,11 +117,15 @@ def placed(rows: DataFrame, shared, probes: int = 0) -> DataFrame:
             if batch.num_rows:
                 x = matrix(batch.column(1)).astype(np.float64)
                 # A query has no last coordinate; a row's makes all norms equal.
-                turned = index.turned(index.augmented(x) if not probes else np.pad(x, ((0, 0), (0, 1))))
-                d = index.distances(turned)
-                k = min(probes or 1, d.shape[1])
-                at = np.argpartition(d, k - 1, axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(0, at.size + 1, k), pa.int32()), pa.array(at.ravel(), pa.int32())), batch.column(0), batch.column(1)], names=["lists", "vec_id", "vector"])
+                d = index.distances(index.turned(index.augmented(x) if not probes else np.pad(x, ((0, 0), (0, 1)))))
+                if probes:
+                    order = d.argsort(axis=1, kind="stable")
+                    few = (np.cumsum(sizes[order], axis=1) < least).sum(1) + 1
+                    k = np.minimum(np.maximum(probes, few), d.shape[1])
+                    at = order[np.arange(d.shape[1])[None, :] < k[:, None]]
+                else:
+                    k, at = np.ones(len(d), dtype=np.int64), d.argmin(1)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.concatenate(([0], k.cumsum())), pa.int32()), pa.array(at, pa.int32())), batch.column(0), batch.column(1)], names=["lists", "vec_id", "vector"])
 
     found = rows.mapInArrow(run, "lists array<int>, vec_id long, vector array<double>")
     return found.select(F.explode("lists").alias("list"), "vec_id", "vector")
@@ -177,7 +184,10 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = TOP, probes: int |
     index, enough = fitted(all_.select("vec_id", "vector"), n, size, float(square) ** 0.5)
     shared = spark.sparkContext.broadcast(index)
     rows = saved(placed(all_.select("vec_id", "vector"), shared), f"{path}/rows")
-    queries = saved(placed(all_.where("is_query").select("vec_id", "vector"), shared, probes or enough), f"{path}/queries")
+    sizes = np.zeros(len(index.centres), dtype=np.int64)
+    for r in rows.groupBy("list").agg(F.count("*").alias("k")).collect():  # LISTS rows at most
+        sizes[r.list] = r.k
+    queries = saved(placed(all_.where("is_query").select("vec_id", "vector"), shared, probes or enough, sizes, 2 * top + 1), f"{path}/queries")
     pieces = lambda df, most, name: df.groupBy("list").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
     deal = F.broadcast(pieces(rows, SEGMENT, "segments").join(pieces(queries, QUERIES, "parts"), "list"))  # LISTS rows at most
     own = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")

@@ -95,6 +95,8 @@ def test_neighbours(spark):
     few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert [tuple(r)[:3] for r in ann.nearest(few, F.col("vec_id") == 0).orderBy("rank").collect()] == [(0, 1, 1), (0, 2, 2)]
     assert ann.nearest(few.where("false"), F.lit(True)).count() == 0
+    some = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(60, 4)))], "vec_id long, embedding array<double>")
+    assert {r["count"] for r in ann.nearest(some, F.lit(True)).groupBy("query_id").count().collect()} == {20}
 
 
 def test_neighbours_in_segments(spark, monkeypatch):
