@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parchmint.llm import rans
-from parchmint.llm.common import bytes_of, id_or_least, per_batch, saved
+from parchmint.llm.common import bytes_of, id_or_least, released, saved
 from parchmint.llm.tokenizing import default_path, encoder
 
 END_ID = 1
@@ -37,12 +37,15 @@ def encoded(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> D
     """(id, ids): each document's ids with the end id, packed as the encoder packs them."""
     file = path or default_path()
 
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batches):
         e = encoder(file)
         end = np.array([end_id], dtype=e.dtype).tobytes()
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([x + end for x in e.encode_all(bytes_of(batch.column(1)))], pa.binary())], names=["id", "ids"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x + end for x in e.encode_all(bytes_of(batch.column(1)))], pa.binary())], names=["id", "ids"])
+        e.words.clear()
+        released()
 
-    return docs.select(id_or_least().alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(per_batch(step), "id long, ids binary")
+    return docs.select(id_or_least().alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "id long, ids binary")
 
 
 def counted(ids: DataFrame, file: str) -> DataFrame:

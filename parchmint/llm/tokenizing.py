@@ -20,7 +20,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one thread for each
 
 from tokenizers import Tokenizer  # noqa: E402
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 450_000
 
 
 def default_path() -> str:
@@ -120,7 +120,7 @@ class Encoder:
 
     def _cores(self, words: list[str]) -> list[bytes]:
         """Ids of words of PLAIN letters, by the model alone, in one sequence cut at ends of words."""
-        shown = [w.encode().decode("latin-1").translate(self.letters) for w in words]
+        shown = [w if w.isascii() else w.encode().decode("latin-1").translate(self.letters) for w in words]
         ids = np.array(self.model.encode_batch_fast([shown], is_pretokenized=True, add_special_tokens=False)[0].ids, dtype=self.dtype)
         at = (np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize
         if len(at) != len(words):
