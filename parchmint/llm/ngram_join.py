@@ -137,7 +137,7 @@ def near_classes(docs: DataFrame, percent: int = 80) -> DataFrame:
     full = rows.where("n > 0")
     classes = full.groupBy("v").agg(F.min("id").alias("id"), F.first("g").alias("g"), F.first("n").alias("n"))
     heads = full.groupBy("g").agg(F.min("id").alias("id"))
-    groups = full.join(heads, ["g", "id"], "left_semi").dropDuplicates(["g"])
+    groups = full.join(heads, ["g", "id"], "left_semi").dropDuplicates(["g", "id"])  # one id a group is left; dealt by both, nothing moves again
     tokens = groups.select("g", "n", F.explode("prefix").alias("token"))
     # One list for each shingle and band; a list of one group has nothing to compare.
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) - 1e-9)
