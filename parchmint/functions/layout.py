@@ -47,6 +47,7 @@ def document(d: Dialect, lines: str) -> str:
     return glued(d, lines, lambda a, b: f"{flows(a)} AND {flows(b)} AND NOT ({d.matches_start(b, r'[\p{Lu}0-9]')} AND {d.like(a, r'[.!?]\z')})")
 
 
+# Labels with a colon or a wide gap, headers, bullets, the note on columns; counts() and structure() hold the marks and thresholds of structures.
 LABEL, GAP = rf"\A([A-Za-z{WS}]+):[{WS}]*([^\n]+)", rf"\A([A-Za-z{WS}]+)[{WS}]{{2,}}([^\n]+)"
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from parchmint.functions import lexicons as lex
 from parchmint.plans.dialect import WORD, WS, Dialect
 
+# The letters and the digits they are read for.
 #: Letters that stand for digits between digits.
 DIGIT_TWINS = {"l": "1", "I": "1", "O": "0", "S": "5", "Z": "2", "B": "8"}
 
@@ -57,6 +58,7 @@ def in_section(d: Dialect, i: str, name: str = "") -> str:
     return f"{last(name + 'begin_', lambda k: f'{k} < {i}')} > {last(name + 'end_', lambda k: f'{k} <= {i}')}"
 
 
+# How item sections of receipts begin and end, and how an item line looks.
 RECEIPT_BEGIN, RECEIPT_END = r"(?i)\A(?:ITEM|DESCRIPTION|PRODUCT|GOODS)S?", r"(?i)\A(?:SUBTOTAL|TOTAL|TAX|DISCOUNT)"
 RECEIPT_LINE = rf"\A([^\n]+?)(?:[{WS}]+([0-9]+))?(?:[{WS}]+(?:x|@)[{WS}]+)?([0-9.,]+)"
 

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+# Lines to learn columns from, and how near a start must be.
 LEARN_FROM, NEAR = 5, 5
 WORD = re.compile(r"\S+")
 ROWS = "doc_id long, row int, header string, value string"

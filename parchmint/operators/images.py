@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from parchmint.plans.dialect import Dialect
 
+# Types that win near ties, and the strategy of each type. The thresholds and weights in the rules below are fixed values too.
 SPECIFIC = ("id_card", "receipt", "scientific", "form", "book_page", "newspaper", "table", "signage")
 STRATEGIES = {
     "document": "document", "natural": "natural", "receipt": "receipt", "id_card": "id_card", "handwritten": "handwritten", "book_page": "book", "table": "table",

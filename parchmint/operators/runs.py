@@ -31,6 +31,7 @@ def success_rates(d: Dialect, runs: str) -> str:
     return f"SELECT image_type, engine, {fold} AS success_rate FROM {grouped}"
 
 
+# Sizes in bytes; the seconds in timeout() and status() are fixed values too.
 LARGE, SMALL = 5 * 1024 * 1024, 1024 * 1024
 
 

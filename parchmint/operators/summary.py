@@ -61,6 +61,7 @@ def bullet_points(d: Dialect, x: str) -> str:
     return d.join(d.map(full, lambda v: f"'• ' || {v} || {d.when((d.like(v, r'[.!?]' + chr(92) + 'z'), chr(39) * 2), other=d.lit('.'))}"), "\n")
 
 
+# Months as dates name them.
 MONTH = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*"
 
 
@@ -87,6 +88,7 @@ def summaries(d: Dialect, docs: str, max_length: int = 200, style: str = "concis
     return f"SELECT doc_id, {form} AS summary FROM {whole} UNION ALL {short}"
 
 
+# Markers of sentences worth reporting.
 INSIGHTS = (
     r"(?i)(?:key|main|important|significant|critical)[^\n]{0,20}(?:point|fact|finding|conclusion)",
     rf"(?i)in[{WS}]+summary|to[{WS}]+summarize|in[{WS}]+conclusion|concluding|therefore",

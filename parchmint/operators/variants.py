@@ -50,6 +50,7 @@ def _columns_marked(g: Image) -> Image:
     return out
 
 
+# Names, order and parameters of the variants.
 #: Variants by strategy, in the order they are tried.
 STRATEGIES: dict[str, Named] = {
     "minimal": [("otsu", k.otsu)],
