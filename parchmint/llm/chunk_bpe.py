@@ -31,7 +31,7 @@ from parchmint.llm.shingles import mix
 from parchmint.llm.tokenizing import Encoder, default_path, encoder
 
 WINDOW, MASK, MAX_CHUNK = 16, 63, 8192
-SHARED, CACHE_BYTES = 2048, 32 << 20
+SHARED, CACHE_BYTES = 2048, 8 << 20
 FACTORS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 2**64) for k in range(WINDOW)], dtype=np.uint64)
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
