@@ -206,7 +206,7 @@ def n8_insights(d: Dialect) -> str:
 
 
 def n10_sign_type(d: Dialect) -> str:
-    signs = f"(SELECT page_id, url || {d.lit(chr(10))} || substr(html, 1, 400) AS text FROM {d.table('pages')} UNION ALL SELECT l_orderkey AS page_id, CASE l_linenumber % 4 WHEN 0 THEN 'Kantor Dinas ' WHEN 1 THEN 'promo pizza ' WHEN 2 THEN 'dijual rumah ' ELSE 'plain words ' END || {d.cast('l_linenumber', d.text)} AS text FROM {d.table('lineitem')})"
+    signs = f"(SELECT page_id, url || {d.lit(chr(10))} || html AS text FROM {d.table('pages')} UNION ALL SELECT l_orderkey AS page_id, CASE l_linenumber % 4 WHEN 0 THEN 'Kantor Dinas ' WHEN 1 THEN 'promo pizza ' WHEN 2 THEN 'dijual rumah ' ELSE 'plain words ' END || {d.cast('l_linenumber', d.text)} AS text FROM {d.table('lineitem')})"
     return f"SELECT page_id, kind, {language.sign_description(d, 'text', 'kind')} AS description FROM {steps(signs, ('kind', language.sign_type(d, 'text')))}"
 
 
