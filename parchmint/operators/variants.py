@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from parchmint.functions import geometry
 from parchmint.functions import kernels as k
 from parchmint.sources.engines import decoded
 
@@ -91,6 +92,9 @@ def variants(image: Image, strategy: str) -> Iterator[tuple[str, Image]]:
     if small is not g:
         yield "resized", small
     for name, make in STRATEGIES.get(strategy, STRATEGIES["standard"]):
+        if name == "scaled_0.5" and (flat := geometry.sign_corrected(small)) is not None:
+            yield "perspective_corrected", flat
+            yield "corrected_otsu", k.otsu(flat)
         yield name, make(small)
     if k.has_glare(small):
         clear = k.deglared(small)
@@ -99,19 +103,50 @@ def variants(image: Image, strategy: str) -> Iterator[tuple[str, Image]]:
     yield "original", g
 
 
+CARD_WIDTH = 1000
+
+
+def optimized_card(image: Image) -> Image:
+    """An identity card before recognition: at most CARD_WIDTH wide, equalised by tiles, without noise."""
+    h, w = image.shape[:2]
+    small = k.resized(image, max(1, h * CARD_WIDTH // w), CARD_WIDTH) if w > CARD_WIDTH else image
+    return k.denoise(k.clahe(k.grey(small), 2.0), 10, 7, 10)
+
+
+def corrected(image: Image, image_type: str) -> Iterator[tuple[str, Image]]:
+    """What is done to an image of a type before its variants, one step on the other; steps that change nothing are left out."""
+    if image_type == "id_card":
+        image = optimized_card(image)
+        yield "optimized", image
+    g = k.grey(image)
+    if image_type == "natural" and (flat := geometry.page_corrected(g)) is not None:
+        g = flat
+        yield "perspective", g
+    if image_type not in ("natural", "signage") and (turned := geometry.auto_rotated(g)) is not g:
+        yield "auto_rotated", turned
+
+
 VARIANTS = "image_id long, ord int, variant string, height int, width int, brightness double, contrast double, data binary"
 
 
 def image_variants(images: DataFrame) -> DataFrame:
     """images (image_id, strategy, content): a row for each variant, in order; undecoded images give none."""
+    return _rows(images, variants)
+
+
+def image_corrections(images: DataFrame) -> DataFrame:
+    """images (image_id, strategy: the image's type, content): a row for each correction made, in order."""
+    return _rows(images, corrected)
+
 
+def _rows(images: DataFrame, made: Callable[[Image, str], Iterator[tuple[str, Image]]]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, strategy, content in zip(pdf["image_id"], pdf["strategy"], pdf["content"], strict=True):
                 image = decoded(bytes(content)) if content is not None else None
                 if image is None or 0 in image.shape:
                     continue
-                rows = [(name, i, v, g.shape[0], g.shape[1], float(g.mean()), float(g.std()), g.tobytes()) for i, (v, g) in enumerate(variants(image, strategy))]
+                rows = [(name, i, v, g.shape[0], g.shape[1], float(g.mean()), float(g.std()), g.tobytes()) for i, (v, g) in enumerate(made(image, strategy))]
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in VARIANTS.split(", ")])
 
     return images.select("image_id", "strategy", "content").mapInPandas(run, VARIANTS)

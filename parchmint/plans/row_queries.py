@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parchmint.functions import kernels
 from parchmint.operators import aligned, variants
 from parchmint.plans import fixtures, more_fixtures
 from parchmint.plans.dialect import Spark
@@ -29,6 +31,29 @@ def p_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.image_variants(pictures(spark, sf_dir).withColumn("strategy", chosen)).select("image_id", "ord", "variant", "height", "width", "brightness", "contrast", F.md5("data").alias("data_md5"))
 
 
+def drawn(key: int, image_type: str) -> bytes:
+    """A page of lines in a PGM file: turned, or as a slanted sheet on a dark ground for natural images."""
+    h, w = 240, 320
+    y, x = np.mgrid[:h, :w]
+    g = np.where((y % 20 < 3) & (y > 40) & (y < 200) & (x > 40) & (x < 280), 30, 220).astype(np.uint8)
+    if image_type == "natural":
+        d = key % 9 * 2
+        sheet = (y > 15 + d * x / w) & (y < 225 - d * x / w) & (x > 20 + d * y / h) & (x < 300 - d * y / h)
+        g = np.where(sheet, g, 10).astype(np.uint8)
+    else:
+        g = kernels.rotated(g, (key % 13 - 6) * 7)
+    return b"P5\n%d %d\n255\n" % (w, h) + g.tobytes()
+
+
+def p_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perspective, rotation and card clean-up of a drawn page for each nation, types dealt in turn."""
+    names = ("natural", "document", "id_card", "receipt")
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("image_id"))
+    dealt = nations.withColumn("strategy", F.element_at(F.array(*map(F.lit, names)), (F.col("image_id") % len(names) + 1).cast("int")))
+    images = dealt.withColumn("content", F.udf(drawn, "binary")("image_id", "strategy"))
+    return variants.image_corrections(images).select("image_id", "ord", F.col("variant").alias("step"), "height", "width", "brightness", "contrast", F.md5("data").alias("data_md5"))
+
+
 def o4_recognise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of all engines; those that aren't installed say unavailable."""
     files = pictures(spark, sf_dir).select(F.concat(F.lit("img"), F.col("image_id"), F.lit(".pgm")).alias("path"), "content")
@@ -54,4 +79,4 @@ def w4_task_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(f"{tasks.OUTPUT}, batch long").parquet(f"{folder}/rows").drop("batch")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p_variants, o4_recognise, e7_space_tables, w4_task_stream)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p_variants, p_corrections, o4_recognise, e7_space_tables, w4_task_stream)}
