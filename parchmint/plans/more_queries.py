@@ -168,9 +168,10 @@ def i14_camera_and_corrections(d: Dialect) -> str:
 
 
 def i16_hash(d: Dialect) -> str:
-    """A hash of every other pixel, in reading order: equal images have equal ones."""
-    some = f"(SELECT image_id, y, x, {d.cast('v', d.text)} AS t FROM {made.pixels(d)} WHERE (y * 8 + x) % 2 = 0)"
-    return f"SELECT image_id, md5({d.join(d.collect('t', 'y, x'), ',')}) AS pixel_hash FROM {some} GROUP BY image_id"
+    """A hash of the shape and every pixel, in reading order: equal images have equal ones."""
+    some = f"(SELECT image_id, y, x, {d.cast('v', d.text)} AS t FROM {made.pixels(d)})"
+    shape = f"{d.cast('max(y) + 1', d.text)} || 'x' || {d.cast('max(x) + 1', d.text)} || ':'"
+    return f"SELECT image_id, md5({shape} || {d.join(d.collect('t', 'y, x'), ',')}) AS pixel_hash FROM {some} GROUP BY image_id"
 
 
 def i17_points(d: Dialect) -> str:

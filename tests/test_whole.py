@@ -32,3 +32,12 @@ def test_sign_type_reads_whole_pages(both):
     pages = [{"page_id": 1, "url": "u", "html": "x" * 5000 + " masjid"}, {"page_id": 2, "url": "u", "html": "x" * 5000}]
     rows = both("n10_sign_type", pages=pages, lineitem=[{"l_orderkey": 9, "l_linenumber": 3}])
     assert {r["page_id"]: r["kind"] for r in rows} == {1: "religious", 2: "general", 9: "general"}
+
+
+def test_hash_sees_every_pixel(both):
+    base = [k / 64 for k in range(64)]
+    odd = [*base[:9], base[9] + 0.01, *base[10:]]
+    assert odd[8] < odd[9] < odd[10]
+    rows = both("i16_hash", embeddings=[{"vec_id": i, "embedding": e, "label": 0} for i, e in enumerate((base, odd, base))])
+    h = {r["image_id"]: r["pixel_hash"] for r in rows}
+    assert h[0] == h[2] != h[1]
