@@ -202,14 +202,15 @@ def projection(d: Dialect, pixels: str) -> str:
 
 
 def ordered_points(d: Dialect, points: str) -> str:
-    """Four points (image_id, k, px, py) as top left, top right, bottom right, bottom left.
+    """Four points (image_id, quad, k, px, py) of each quad as top left, top right, bottom right, bottom left.
 
     The two leftmost by y; of the others the one farther from the top left is the bottom right.
+    Of n_points under four: one is the top left, two are the left ones, three lack the top right; the others are null.
     """
-    by_x = f"(SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY px, k) AS rx FROM {points})"
-    left = f"(SELECT *, row_number() OVER (PARTITION BY image_id, rx <= 2 ORDER BY py, px, k) AS ry FROM {by_x})"
+    by_x = f"(SELECT *, row_number() OVER (PARTITION BY image_id, quad ORDER BY px, k) AS rx FROM {points})"
+    left = f"(SELECT *, row_number() OVER (PARTITION BY image_id, quad, rx <= 2 ORDER BY py, px, k) AS ry FROM {by_x})"
     cell = lambda c, v: f"max(CASE WHEN {c} THEN {v} END)"
-    tl = f"(SELECT *, max(CASE WHEN rx <= 2 AND ry = 1 THEN px END) OVER (PARTITION BY image_id) AS tlx, max(CASE WHEN rx <= 2 AND ry = 1 THEN py END) OVER (PARTITION BY image_id) AS tly FROM {left})"
-    far = f"(SELECT *, row_number() OVER (PARTITION BY image_id, rx <= 2 ORDER BY (px - tlx) * (px - tlx) + (py - tly) * (py - tly) DESC, k) AS rd FROM {tl})"
+    tl = f"(SELECT *, max(CASE WHEN rx <= 2 AND ry = 1 THEN px END) OVER (PARTITION BY image_id, quad) AS tlx, max(CASE WHEN rx <= 2 AND ry = 1 THEN py END) OVER (PARTITION BY image_id, quad) AS tly FROM {left})"
+    far = f"(SELECT *, row_number() OVER (PARTITION BY image_id, quad, rx <= 2 ORDER BY (px - tlx) * (px - tlx) + (py - tly) * (py - tly) DESC, k) AS rd FROM {tl})"
     out = {"tl": "rx <= 2 AND ry = 1", "bl": "rx <= 2 AND ry = 2", "br": "rx > 2 AND rd = 1", "tr": "rx > 2 AND rd = 2"}
-    return f"SELECT image_id, {', '.join(f'{cell(c, v)} AS {k}_{v[1]}' for k, c in out.items() for v in ('px', 'py'))} FROM {far} GROUP BY image_id"
+    return f"SELECT image_id, quad, count(*) AS n_points, {', '.join(f'{cell(c, v)} AS {k}_{v[1]}' for k, c in out.items() for v in ('px', 'py'))} FROM {far} GROUP BY image_id, quad"

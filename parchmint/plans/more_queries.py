@@ -175,8 +175,9 @@ def i16_hash(d: Dialect) -> str:
 
 
 def i17_points(d: Dialect) -> str:
+    """A quadrilateral of every four consecutive points; of a remainder, the corners that the rule reaches."""
     k = f"(SELECT l_orderkey AS image_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS k, l_partkey % 300 AS px, l_suppkey * 7 % 400 AS py FROM {d.table('lineitem')})"
-    return images.ordered_points(d, f"(SELECT image_id, k, px, py FROM (SELECT *, count(*) OVER (PARTITION BY image_id) AS many FROM {k}) WHERE many >= 4 AND k <= 4)")
+    return images.ordered_points(d, f"(SELECT image_id, CAST({d.idiv('(k - 1)', '4')} AS bigint) AS quad, k, px, py FROM {k})")
 
 
 def p_otsu(d: Dialect) -> str:

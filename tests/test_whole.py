@@ -41,3 +41,15 @@ def test_hash_sees_every_pixel(both):
     rows = both("i16_hash", embeddings=[{"vec_id": i, "embedding": e, "label": 0} for i, e in enumerate((base, odd, base))])
     h = {r["image_id"]: r["pixel_hash"] for r in rows}
     assert h[0] == h[2] != h[1]
+
+
+def test_points_of_all_rows(both):
+    points = [(10, 10), (200, 10), (210, 30), (20, 40), (5, 5), (6, 7), (100, 9)]
+    at = lambda o, n, x, y: {"l_orderkey": o, "l_linenumber": n, "l_partkey": x, "l_suppkey": y, "l_quantity": 1.0, "l_extendedprice": 1.0}
+    rows = both("i17_points", lineitem=[*(at(1, n, x, y) for n, (x, y) in enumerate(points)), at(2, 0, 7, 3)])
+    found = {(r["image_id"], r["quad"]): r for r in rows}
+    corners = lambda r: [(r[f"{c}_x"], r[f"{c}_y"]) for c in ("tl", "tr", "br", "bl")]
+    assert {k: r["n_points"] for k, r in found.items()} == {(1, 0): 4, (1, 1): 3, (2, 0): 1}
+    assert corners(found[1, 0]) == [(10, 70), (200, 70), (210, 210), (20, 280)]
+    assert corners(found[1, 1]) == [(5, 35), (None, None), (100, 63), (6, 49)]
+    assert corners(found[2, 0]) == [(7, 21), (None, None), (None, None), (None, None)]
