@@ -37,8 +37,8 @@ def _adaptive(size: int, c: float, mean: bool = False) -> Callable[[Image], Imag
     return lambda g: k.adaptive(g, size, c, mean)
 
 
-def _denoise(strength: float) -> Callable[[Image], Image]:
-    return lambda g: k.denoise(g, strength)
+def _denoise(strength: float, patch: int = 7) -> Callable[[Image], Image]:
+    return lambda g: k.denoise(g, strength, patch)
 
 
 def _without_grid(size: int) -> Callable[[Image], Image]:
@@ -73,7 +73,7 @@ STRATEGIES: dict[str, Named] = {
     "form": [("contrast", _clahe(2.0)), ("adaptive", _adaptive(15, 5)), ("form_enhanced", lambda g: k.dilate(k.grid(g, 30), 3, 3)), ("text_only", _without_grid(30)), ("labels", _then(k.sharpen, k.otsu))],
     "standard": [("otsu", k.otsu), ("adaptive", _adaptive(11, 2)), ("contrast_otsu", _then(_clahe(2.0), k.otsu)), ("edge_enhanced", _edge_enhanced)],
     "aggressive": [
-        ("contrast", _clahe(4.0)), ("denoised", _denoise(15)), ("sharpened", k.sharpen), ("sharpened_otsu", _then(k.sharpen, k.otsu)), ("adaptive", _adaptive(13, 5)), ("inverted_otsu", _then(k.invert, k.otsu)),
+        ("contrast", _clahe(4.0)), ("denoised", _denoise(15, 9)), ("sharpened", k.sharpen), ("sharpened_otsu", _then(k.sharpen, k.otsu)), ("adaptive", _adaptive(13, 5)), ("inverted_otsu", _then(k.invert, k.otsu)),
         ("stretched", k.stretch), ("multi_scale_otsu", lambda g: np.minimum(k.otsu(g), k.otsu(k.levels(k.gauss(g, 5))))), ("strong_otsu", _then(_clahe(5.0, 4), k.otsu)),
     ],
     "signage": [

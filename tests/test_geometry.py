@@ -53,3 +53,21 @@ def test_card():
     assert name == "optimized" and out.shape == (15, 1000)
     small = kernels.clahe(kernels.resized(wide, 15, 1000), 2.0)
     assert (out == kernels.denoise(small, 10, 7, 10)).all()
+
+
+def test_windows_have_their_size():
+    g = np.full((41, 41), 100, dtype=np.uint8)
+    g[20, 20] = 104
+    assert np.ptp(np.argwhere(kernels.bilateral(np.where(g == 104, 255, 100).astype(np.uint8), 15, 1e4, 1e4) != 100), axis=0).tolist() == [14, 14]
+    rng = np.random.default_rng(2)
+    x = rng.integers(90, 110, (12, 13)).astype(np.float64)
+    total, weight = np.zeros_like(x), np.zeros_like(x)
+    pad = np.pad(x, 10, mode="symmetric")
+    for y in range(21):
+        for z in range(21):
+            moved = pad[y : y + 12, z : z + 13]
+            w = np.exp(-kernels.box((x - moved) ** 2, 7) / 10**2)
+            total, weight = total + w * moved, weight + w
+    assert (kernels.denoise(x.astype(np.uint8), 10) == kernels.levels(total / weight)).all()
+    strong = dict(variants.STRATEGIES["aggressive"])["denoised"](x.astype(np.uint8))
+    assert (strong == kernels.denoise(x.astype(np.uint8), 15, 9, 10)).all()
