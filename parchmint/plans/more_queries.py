@@ -53,9 +53,10 @@ def m6_key_values(d: Dialect) -> str:
 
 def m1_report(d: Dialect) -> str:
     """The text pipeline's last step: documents repaired, described and rendered."""
+    fixed = f"(SELECT doc_id, {repair.repaired(d, 'text')} AS text FROM {_docs(d)})"
     filename = f"'doc' || {d.cast('doc_id', d.text)} || '.png'"
     rows = steps(
-        f"(SELECT doc_id, text AS raw, lang AS language FROM {d.table('documents')})",
+        f"(SELECT r.doc_id AS doc_id, r.raw AS raw, r.language AS language, s.summary AS summary FROM (SELECT doc_id, text AS raw, lang AS language FROM {d.table('documents')}) r LEFT JOIN ({summary.summaries(d, fixed)}) s ON r.doc_id = s.doc_id)",
         ("text", repair.repaired(d, "raw")),
         ("lines_", layout.lines_of(d, "text")),
         ("structure", layout.structure(d, "text", "lines_")),
@@ -69,7 +70,6 @@ def m1_report(d: Dialect) -> str:
         ("is_sign", "doc_id % 5 = 0"),
         ("content_type", "'general'"),
         ("description", "'A sign.'"),
-        ("summary", "substr(text, 1, 80)"),
         *summary.insights(d, "text"),
         ("info", "CAST(NULL AS " + d.text + ")"),
         *markdown.table_steps(d, "text", "lines_"),

@@ -53,3 +53,12 @@ def test_points_of_all_rows(both):
     assert corners(found[1, 0]) == [(10, 70), (200, 70), (210, 210), (20, 280)]
     assert corners(found[1, 1]) == [(5, 35), (None, None), (100, 63), (6, 49)]
     assert corners(found[2, 0]) == [(7, 21), (None, None), (None, None), (None, None)]
+
+
+def test_report_has_the_summary(both):
+    text = "Plain words open this text and run on for a while, well past eighty characters. " + "Filler stands here and there. " * 3 + "The key result ends it."
+    docs = [{"doc_id": i, "text": t, "lang": "en"} for i, t in enumerate((text, "short", None))]
+    want = {r["doc_id"]: r["summary"] for r in both("n3_summary_concise", documents=docs)}
+    rows = {r["doc_id"]: r["md"] for r in both("m1_report", documents=docs)}
+    assert len(rows) == 3 and len(want[0]) > 80
+    assert want[0] in rows[0].split("Summary")[1].replace("\\", "")
