@@ -1,23 +1,34 @@
 """Approximate nearest neighbours by inner product: inverted lists with an adaptive dimension scan.
 
-One more dimension, sqrt(M^2 - |x|^2) with M the largest norm, turns the largest inner product
-into the least distance. Lists are k-means cells, fitted on a sample of FIT vectors at most;
-every vector is indexed. Vectors are turned by a random orthogonal matrix and laid out in blocks
-of COLUMNS columns. Each query probes its nearest lists, as many as reach REACHED of
-the exact neighbours among the sample (sparser than the whole, which errs on the side of more
-probes). Within a list the first
-candidates are measured whole; for the others the distance grows block by block, and after each
-block a hypothesis test (EPSILON) abandons those whose distance, carried on from the columns seen,
-is too far beyond the k-th best. What survives is scored in double precision on the original
-vectors.
-
-A list of more than SEGMENT vectors is dealt out over segments, and more than QUERIES queries of
-a list over blocks, by hash, so that many equal vectors don't meet in one task. Only list
-centres, the rotation and counts by list are broadcast or collected, LISTS at most.
+Rows are scaled by M, the largest norm, and get one more dimension, sqrt(1 - |x|^2), which turns
+the largest inner product with a query of unit length into the least distance. Lists are k-means
+cells of about LIST vectors (CENTRES lists at most; with more than LIST * CENTRES vectors they
+grow). Their centres are fitted on one half of a sample of FIT rows; the other half, which the
+fit hasn't seen, tells how many lists hold REACHED of its own exact neighbours, as near to the
+query as the neighbours among all rows would be. It also gives every query its first candidates,
+and so a radius that its top-th neighbour can't exceed. Every vector is indexed. A query probes its nearest lists, that many or
+until they hold enough ids, without those whose farthest vector is out of its radius by the
+triangle inequality.
+
+Vectors are turned by a random orthogonal matrix and laid out in blocks of COLUMNS columns. The
+queries of a list are scanned together: distances grow block by block, and after each block a
+hypothesis test abandons every pair whose partial distance is too large for one within the
+radius. For a random rotation the share of s among d columns in a squared length follows the
+Beta distribution of s/2 and (d - s)/2; the test cuts Z standard deviations above its mean. Blocks
+are multiplied as matrices while more than DENSE of the pairs are left, then pair by pair. The
+radius shrinks to the top-th best seen. What survives is scored in double precision on the
+original vectors.
+
+Neighbouring lists travel in one bundle of about BUNDLE vectors, so a query is copied once for a
+bundle. A bundle of more than SEGMENT vectors is dealt out over segments, more than QUERIES
+queries of it over parts, by hash. Equal vectors in a task are measured once, and only their
+least ids, which win ties, are carried on. Only centres, the rotation, the sample and one row for
+each list are broadcast or collected.
 
 Vectors that are null, all zero, of another than the most frequent length, or that hold null or
-non-finite numbers take no part; so don't rows whose id is null. Rows that share an id are
-candidates of their own, and a query isn't its own candidate. Ties go to the smaller id.
+non-finite numbers take no part; so don't rows whose id is null. Rows that share an id are one
+candidate, at the best of their scores; where they are queries, the least of their vectors asks.
+A query's own id is never among its neighbours. Ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -31,12 +42,16 @@ from pyspark.sql import functions as F
 
 from parchmint.llm.common import saved, scratch
 
-FIT, LISTS, ROUNDS = 8192, 1024, 12
+FIT, LIST, CENTRES, ROUNDS = 16_384, 64, 2048, 8
 TOP = 20
-#: Queries of the sample that set the number of probes, and the share of their neighbours to be reached.
-TUNED, REACHED = 512, 0.97
-COLUMNS, EPSILON, WHOLE = 16, 2.1, 256
-SEGMENT, QUERIES = 20_000, 4_000
+#: Rows of the sample's second half that ask for the number of lists, and the share of neighbours to be reached.
+TUNED, REACHED = 1024, 0.92
+COLUMNS, Z, DENSE = 16, 2.6, 0.1
+BUNDLE, SEGMENT, QUERIES = 4096, 20_000, 4_000
+#: Rows of a list, or of a sample, that are measured at once.
+CHUNK = 1024
+#: What rounding in single precision may add to a squared distance of unit vectors.
+ROUNDING = 1e-5
 
 
 def usable(vector: Column) -> Column:
@@ -44,60 +59,105 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & good & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of the rows of a and of b."""
+    return np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * a @ b.T, 0)
+
+
 @dataclass
 class Index:
-    """Centres and rotation in the augmented space; norm is M."""
+    """norm: M; centres and the sample's second half (known, with its ids and vectors) in the turned space; bundle: of each list."""
 
     norm: float
     rotation: np.ndarray
     centres: np.ndarray
-
-    def augmented(self, vectors: np.ndarray) -> np.ndarray:
-        more = np.sqrt(np.maximum(self.norm**2 - (vectors**2).sum(1), 0))
-        return np.concatenate([vectors, more[:, None]], axis=1)
-
-    def turned(self, augmented: np.ndarray) -> np.ndarray:
-        return (augmented @ self.rotation).astype(np.float32)
-
-    def distances(self, turned: np.ndarray) -> np.ndarray:
-        return (self.centres**2).sum(1)[None, :] - 2 * turned @ self.centres.T
+    bundle: np.ndarray
+    known: np.ndarray
+    ids: np.ndarray
+    vectors: np.ndarray
+
+    def rows(self, vectors: np.ndarray) -> np.ndarray:
+        x = vectors / self.norm
+        return (np.concatenate([x, np.sqrt(np.maximum(1 - (x**2).sum(1), 0))[:, None]], axis=1) @ self.rotation).astype(np.float32)
+
+    def queries(self, vectors: np.ndarray) -> np.ndarray:
+        x = vectors / np.abs(vectors).max(1, keepdims=True)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        return (x @ self.rotation[:-1]).astype(np.float32)
+
+    def seeds(self, turned: np.ndarray, ids: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+        """Per query the nearest of the known rows, and the squared distance that its top-th neighbour can't exceed."""
+        d = squares(turned, self.known)
+        d[ids[:, None] == self.ids[None, :]] = np.inf
+        if d.shape[1] <= top:
+            return np.tile(np.arange(d.shape[1]), (len(d), 1)), np.full(len(d), np.inf, dtype=np.float32)
+        near = np.argpartition(d, top - 1, axis=1)[:, :top]
+        return near, np.take_along_axis(d, near, 1).max(1) * (1 + ROUNDING) + ROUNDING
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     """k centres, from evenly spread starting rows; cells that run empty restart at far rows."""
     centres = x[np.linspace(0, len(x) - 1, k).astype(int)].copy()
     for _ in range(rounds):
-        d = (centres**2).sum(1)[None, :] - 2 * x @ centres.T
-        own = d.argmin(1)
+        own, far = np.empty(len(x), dtype=np.int64), np.empty(len(x), dtype=np.float32)
+        for i in range(0, len(x), CHUNK):
+            d = squares(x[i : i + CHUNK], centres)
+            own[i : i + CHUNK] = d.argmin(1)
+            far[i : i + CHUNK] = d.min(1)
         n = np.bincount(own, minlength=k)
-        total = np.zeros_like(centres)
-        np.add.at(total, own, x)
-        centres[n > 0] = total[n > 0] / n[n > 0, None]
+        by = np.argsort(own, kind="stable")
+        held = np.flatnonzero(n)
+        centres[held] = np.add.reduceat(x[by], (np.cumsum(n) - n)[held], axis=0) / n[held, None]
         if (n == 0).any():
-            centres[n == 0] = x[np.argsort(-d[np.arange(len(x)), own])[: (n == 0).sum()]]
+            centres[n == 0] = x[np.argsort(-far)[: (n == 0).sum()]]
     return centres
 
 
-def fitted(rows: DataFrame, n: int, size: int, norm: float) -> tuple[Index, int]:
-    """rows (vec_id, vector). The number of lists grows as the root of n, up to LISTS; the second result is the number to probe."""
-    taken = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT).collect()
+def bundles(centres: np.ndarray, most: int) -> np.ndarray:
+    """A number for each centre: halves along the longest axis, until a part has `most` centres at most."""
+    out, parts, k = np.zeros(len(centres), dtype=np.int32), [np.arange(len(centres))], 0
+    while parts:
+        part = parts.pop()
+        if len(part) <= most:
+            out[part] = k
+            k += 1
+            continue
+        axis = np.linalg.svd(centres[part] - centres[part].mean(0), full_matrices=False)[2][0]
+        by = part[np.argsort(centres[part] @ axis, kind="stable")]
+        parts += [by[: len(by) // 2], by[len(by) // 2 :]]
+    return out
+
+
+def fitted(rows: DataFrame, n: int, size: int, norm: float, top: int) -> tuple[Index, int]:
+    """rows (vec_id, vector). An index for n rows, and how many lists a query is to probe."""
+    taken = rows.groupBy("vec_id").agg(F.min("vector").alias("vector")) if n <= FIT else rows
+    taken = taken.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT).collect()
     x = np.array([r.vector for r in taken], dtype=np.float64)
+    ids, at = np.unique(np.array([r.vec_id for r in taken], dtype=np.int64), return_index=True)
+    at = np.sort(at)  # one row of an id, in hash order
+    ids, x = np.array([taken[k].vec_id for k in at], dtype=np.int64), x[at]
     q, r = np.linalg.qr(np.random.default_rng(7).normal(size=(size + 1, size + 1)))
-    index = Index(norm, q * np.sign(np.diag(r)), np.zeros((0, size + 1), np.float32))
-    turned = index.turned(index.augmented(x))
-    index.centres = kmeans(turned, max(1, min(LISTS, len(x), int(n**0.5 / 2))))
-    return index, probes_for(index, x, TOP)
+    nothing = np.zeros((0, size + 1), np.float32)
+    index = Index(norm, q * np.sign(np.diag(r)), nothing, np.zeros(0, np.int32), nothing, ids[1::2], x[1::2])
+    turned = index.rows(x)
+    fit, index.known = turned[::2], turned[1::2]
+    index.centres = kmeans(fit, int(np.clip(n // LIST, 1, min(CENTRES, len(fit)))))
+    index.bundle = bundles(index.centres, max(1, BUNDLE * len(index.centres) // n))
+    return index, probes_for(index, index.queries(x[1::2][:TUNED]), n, top) if len(index.known) > 1 else len(index.centres)
 
 
-def probes_for(index: Index, x: np.ndarray, top: int) -> int:
-    """How many nearest lists hold REACHED of the exact neighbours of TUNED rows of x among x."""
-    ask = x[:: max(1, len(x) // TUNED)]
-    score = ask @ x.T
-    near = np.argpartition(-score, min(top, len(x) - 1), axis=1)[:, :top]
-    own = index.distances(index.turned(index.augmented(x))).argmin(1)
-    order = index.distances(index.turned(np.pad(ask, ((0, 0), (0, 1))))).argsort(1).argsort(1)
-    rank = np.take_along_axis(order, own[near], 1)
-    return int(np.quantile(rank, REACHED)) + 1
+def probes_for(index: Index, ask: np.ndarray, n: int, top: int) -> int:
+    """How many nearest lists hold REACHED of the neighbours of ask, the first rows of index.known.
+
+    Of m known rows the nearest top * m / n are as near as the nearest top of n.
+    """
+    most = max(1, min(-(-top * len(index.known) // n), len(index.known) - 1))
+    d = squares(ask, index.known)
+    d[np.arange(len(ask)), np.arange(len(ask))] = np.inf
+    near = np.argpartition(d, most - 1, axis=1)[:, :most]
+    own = squares(index.known, index.centres).argmin(1)
+    order = squares(ask, index.centres).argsort(1).argsort(1)
+    return int(np.quantile(np.take_along_axis(order, own[near], 1), REACHED)) + 1
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -105,69 +165,177 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def placed(rows: DataFrame, shared, probes: int = 0, sizes: np.ndarray | None = None, least: int = 0) -> DataFrame:
-    """(list, vec_id, vector): each query once for each list it probes; without probes, each row once.
+def listed(rows: DataFrame, shared) -> DataFrame:
+    """(list, bundle, far, vec_id, vector): each row once; far is its distance to the centre."""
+
+    def run(batches):
+        index = shared.value
+        for batch in batches:
+            if batch.num_rows:
+                d = squares(index.rows(matrix(batch.column(1))), index.centres)
+                own = d.argmin(1)
+                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(index.bundle[own]), pa.array(np.sqrt(d.min(1))), *batch.columns], names=["list", "bundle", "far", "vec_id", "vector"])
+
+    return rows.mapInArrow(run, "list int, bundle int, far float, vec_id long, vector array<double>")
+
+
+def probed(queries: DataFrame, shared, probes: int, sizes: np.ndarray, far: np.ndarray, top: int) -> DataFrame:
+    """(bundle, lists, radius, vec_id, vector, seeds, scores): each query once for each bundle where it probes lists.
 
-    sizes: of the lists. A query probes more lists than probes if those hold fewer than `least` vectors.
+    seeds: ids of the known rows nearest to the query, with their scores, in its first row alone. sizes: ids in each list; far: distance of the centre's farthest vector. A query probes more
+    lists than probes if those hold fewer than top + 1 ids.
     """
 
     def run(batches):
         index = shared.value
         for batch in batches:
-            if batch.num_rows:
-                x = matrix(batch.column(1)).astype(np.float64)
-                # A query has no last coordinate; a row's makes all norms equal.
-                d = index.distances(index.turned(index.augmented(x) if not probes else np.pad(x, ((0, 0), (0, 1)))))
-                if probes:
-                    order = d.argsort(axis=1, kind="stable")
-                    few = (np.cumsum(sizes[order], axis=1) < least).sum(1) + 1
-                    k = np.minimum(np.maximum(probes, few), d.shape[1])
-                    at = order[np.arange(d.shape[1])[None, :] < k[:, None]]
-                else:
-                    k, at = np.ones(len(d), dtype=np.int64), d.argmin(1)
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.concatenate(([0], k.cumsum())), pa.int32()), pa.array(at, pa.int32())), batch.column(0), batch.column(1)], names=["lists", "vec_id", "vector"])
-
-    found = rows.mapInArrow(run, "lists array<int>, vec_id long, vector array<double>")
-    return found.select(F.explode("lists").alias("list"), "vec_id", "vector")
-
-
-def scan(blocks: list[np.ndarray], query: np.ndarray, top: int) -> np.ndarray:
-    """Rows of the blocks that may be among the top nearest to the query."""
-    n, d = len(blocks[0]), len(query)
-    first = min(n, max(WHOLE, 2 * top))
-    parts = np.split(query, np.cumsum([b.shape[1] for b in blocks])[:-1])
-    whole = sum(((b[:first] - p) ** 2).sum(1) for b, p in zip(blocks, parts, strict=True))
-    radius = np.partition(whole, top - 1)[top - 1] if first >= top else np.inf
-    if first == n:
-        return np.flatnonzero(whole <= radius * (1 + 1e-5) + 1e-9)
-    left, far, seen = np.arange(first, n), np.zeros(n - first, dtype=np.float32), 0
-    for b, p in zip(blocks, parts, strict=True):
-        far = far + ((b[left] - p) ** 2).sum(1)
-        seen += len(p)
-        bound = radius * (seen / d) * (1 + EPSILON / seen**0.5) ** 2 if seen < d else radius * (1 + 1e-5) + 1e-9
-        keep = far <= bound
-        left, far = left[keep], far[keep]
-    return np.concatenate([np.flatnonzero(whole <= radius * (1 + 1e-5) + 1e-9), left])
+            if not batch.num_rows:
+                continue
+            x, ids = matrix(batch.column(1)), batch.column(0).to_numpy()
+            aim = index.queries(x)
+            near, radius = index.seeds(aim, ids, top)
+            d = squares(aim, index.centres)
+            order = d.argsort(axis=1, kind="stable")
+            few = (np.cumsum(sizes[order], axis=1) < top + 1).sum(1) + 1
+            wanted = order.argsort(1) < np.maximum(probes, few)[:, None]
+            wanted &= np.sqrt(d) - far[None, :] <= np.sqrt(radius)[:, None] + ROUNDING
+            wanted[np.arange(len(d)), order[:, 0]] = True  # a query has one row at least
+            q, at = np.nonzero(wanted)
+            key = q * (int(index.bundle.max()) + 1) + index.bundle[at]
+            by = np.argsort(key, kind="stable")
+            first = np.flatnonzero(np.concatenate(([True], key[by][1:] != key[by][:-1]))) if len(by) else np.zeros(0, int)
+            offsets = np.concatenate((first, [len(by)]))
+            rows = pa.array(q[by][first])
+            opens = np.concatenate(([True], q[by][first][1:] != q[by][first][:-1]))
+            score = np.einsum("ijk,ik->ij", index.vectors[near], x)
+            other = index.ids[near] != ids[:, None]
+            seeds = [index.ids[near[k]][other[k]].tolist() if new else None for k, new in zip(q[by][first].tolist(), opens.tolist(), strict=True)]
+            scores = [score[k][other[k]].tolist() if new else None for k, new in zip(q[by][first].tolist(), opens.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(index.bundle[at[by][first]]), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(at[by].astype(np.int32))), pa.array(radius[q[by][first]]), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(seeds, pa.list_(pa.int64())), pa.array(scores, pa.list_(pa.float64()))],
+                names=["bundle", "lists", "radius", "vec_id", "vector", "seeds", "scores"],
+            )
+
+    return queries.mapInArrow(run, "bundle int, lists array<int>, radius float, vec_id long, vector array<double>, seeds array<long>, scores array<double>")
+
+
+def share_bound(seen: int, d: int) -> float:
+    """The share of a squared distance that `seen` of d columns hold, Z standard deviations above its mean."""
+    mean = seen / d
+    return 1.0 if seen >= d else min(1.0, mean + Z * (2 * mean * (1 - mean) / (d + 2)) ** 0.5)
+
+
+def scan(x: np.ndarray, q: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, squared distance) of the pairs of q and x that no test abandons."""
+    n, d = len(x), x.shape[1]
+    dense, at, row, far = np.zeros((len(q), n), dtype=np.float32), None, None, None
+    for a in range(0, d, COLUMNS):
+        b = min(d, a + COLUMNS)
+        bound = radius * share_bound(b, d) + ROUNDING
+        if at is None:
+            dense += squares(q[:, a:b], x[:, a:b])
+            keep = dense <= bound[:, None]
+            if b == d or np.count_nonzero(keep) <= DENSE * keep.size:
+                at, row = np.nonzero(keep)
+                far = dense[at, row]
+        else:
+            far = far + ((x[row, a:b] - q[at, a:b]) ** 2).sum(1)
+            keep = far <= bound[at]
+            at, row, far = at[keep], row[keep], far[keep]
+    return at, row, far
+
+
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places of the distinct rows of x, and which of them each row equals."""
+    whole = np.ascontiguousarray(x).view(np.dtype((np.void, x.shape[1] * x.itemsize)))[:, 0]
+    _, first, place = np.unique(whole, return_index=True, return_inverse=True)
+    return first, place
+
+
+def ranked(q: np.ndarray, value: np.ndarray, ids: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the pairs by (query, value, id) without repeated ids of a query, and ranks within the query from 0."""
+    by = np.lexsort((value, ids, q))
+    by = by[np.concatenate(([True], (q[by][1:] != q[by][:-1]) | (ids[by][1:] != ids[by][:-1])))] if len(by) else by
+    by = by[np.lexsort((ids[by], value[by], q[by]))]
+    begins = np.flatnonzero(np.concatenate(([True], q[by][1:] != q[by][:-1]))) if len(by) else by
+    return by, np.arange(len(by)) - np.repeat(begins, np.diff(np.append(begins, len(by))))
 
 
 def searcher(shared, top: int):
+    """For a bundle's queries (lists, radius, vec_id, vector) and rows (list, vec_id, vector): query_id, vec_id, score."""
+
+    def least_ids(ids: np.ndarray, place: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The top + 1 least distinct ids at each of n places, and where they begin and how many they are."""
+        by, rank = ranked(place, ids, ids, top)
+        by = by[rank <= top]
+        count = np.bincount(place[by], minlength=n)
+        return ids[by], np.cumsum(count) - count, count
+
     def search(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        index, out = shared.value, ([], [], [])
+        out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         if queries.num_rows and rows.num_rows:
-            x, ids = matrix(rows["vector"]), rows["vec_id"].to_numpy()
-            turned = index.turned(index.augmented(x))
-            blocks = [np.ascontiguousarray(turned[:, a : a + COLUMNS]) for a in range(0, turned.shape[1], COLUMNS)]
-            q = matrix(queries["vector"])
-            for name, raw, aim in zip(queries["vec_id"].to_pylist(), q, index.turned(np.pad(q, ((0, 0), (0, 1)))), strict=True):
-                at = scan(blocks, aim, top + 1)  # it may find itself
-                at = at[ids[at] != name]
-                score = (x[at] * raw).sum(1)
-                best = np.lexsort((ids[at], -score))[:top]
-                out[0].extend([name] * len(best))
-                out[1].extend(ids[at[best]].tolist())
-                out[2].extend(score[best].tolist())
+            out = found(queries, rows)
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
+    def found(queries: pa.Table, rows: pa.Table) -> list[np.ndarray]:
+        index = shared.value
+        raw, list_of = matrix(rows["vector"]), rows["list"].to_numpy()
+        first, place = distinct(raw)
+        ids, start, count = least_ids(rows["vec_id"].to_numpy(), place, len(first))
+        raw, list_of = raw[first], list_of[first]
+        by = np.argsort(list_of, kind="stable")
+        turned = index.rows(raw)
+        asked, names = matrix(queries["vector"]), queries["vec_id"].to_numpy()
+        q_first, q_place = distinct(asked)
+        aim = index.queries(asked[q_first])
+        radius = np.full(len(q_first), -np.inf, dtype=np.float32)
+        np.maximum.at(radius, q_place, queries["radius"].to_numpy())
+        lists = queries["lists"].combine_chunks()
+        wants = np.zeros((len(q_first), int(index.bundle.size)), dtype=bool)
+        wants[np.repeat(q_place, lists.value_lengths().to_numpy()), lists.flatten().to_numpy()] = True
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.int64))  # query, row, distance, id
+        begins = np.flatnonzero(np.concatenate(([True], list_of[by][1:] != list_of[by][:-1])))
+        held: list[tuple[np.ndarray, ...]] = []
+        n_held = 0
+        for lo, hi in zip(begins, np.append(begins[1:], len(by)), strict=True):
+            asking = np.flatnonzero(wants[:, list_of[by[lo]]])
+            for a in range(lo, hi, CHUNK):
+                at = by[a : min(hi, a + CHUNK)]
+                q, row, far = scan(turned[at], aim[asking], radius[asking])
+                held.append((asking[q], at[row], far))
+                n_held += len(q)
+                if n_held > 8 * top * len(aim):
+                    best, held, n_held = merged(best, held, radius, ids, start, count), [], 0
+        q, row, _, name = merged(best, held, radius, ids, start, count)
+        # To the queries that ask with this vector, each without its own id.
+        order = np.argsort(q, kind="stable")
+        q, row, name = q[order], row[order], name[order]
+        score = np.einsum("ij,ij->i", raw[row], asked[q_first][q])
+        low, high = np.searchsorted(q, q_place, "left"), np.searchsorted(q, q_place, "right")
+        n = high - low
+        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        who = np.repeat(np.arange(len(names)), n)
+        other = name[at] != names[who]
+        who, at = who[other], at[other]
+        by, rank = ranked(who, -score[at], name[at], top)
+        by = by[rank < top]
+        return [names[who[by]], name[at[by]], score[at[by]]]
+
+    def merged(best: tuple[np.ndarray, ...], held: list[tuple[np.ndarray, ...]], radius: np.ndarray, ids: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The pairs that may still be among the top, by id; radius shrinks to the top-th other id."""
+        q, row, far = (np.concatenate(x) for x in zip(*held, strict=True)) if held else best[:3]
+        if held:
+            n = count[row]
+            at = np.repeat(start[row] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            q, row, far, name = (np.concatenate(x) for x in zip(best, (np.repeat(q, n), np.repeat(row, n), np.repeat(far, n), ids[at]), strict=True))
+        else:
+            name = best[3]
+        by, rank = ranked(q, far, name, top)
+        last = by[rank == top]  # one more than top, since a query may find itself
+        radius[q[last]] = np.minimum(radius[q[last]], far[last] * (1 + ROUNDING) + ROUNDING)
+        by = by[far[by] <= radius[q[by]]]
+        return q[by], row[by], far[by], name[by]
+
     return search
 
 
@@ -181,20 +349,24 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = TOP, probes: int |
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     size, n, square = lengths[0]
     all_ = all_.where(F.size("vector") == size)
-    index, enough = fitted(all_.select("vec_id", "vector"), n, size, float(square) ** 0.5)
+    index, enough = fitted(all_.select("vec_id", "vector"), n, size, float(square) ** 0.5, top)
     shared = spark.sparkContext.broadcast(index)
-    rows = saved(placed(all_.select("vec_id", "vector"), shared), f"{path}/rows")
-    sizes = np.zeros(len(index.centres), dtype=np.int64)
-    for r in rows.groupBy("list").agg(F.count("*").alias("k")).collect():  # LISTS rows at most
-        sizes[r.list] = r.k
-    queries = saved(placed(all_.where("is_query").select("vec_id", "vector"), shared, probes or enough, sizes, 2 * top + 1), f"{path}/queries")
-    pieces = lambda df, most, name: df.groupBy("list").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
-    deal = F.broadcast(pieces(rows, SEGMENT, "segments").join(pieces(queries, QUERIES, "parts"), "list"))  # LISTS rows at most
+    rows = saved(listed(all_.select("vec_id", "vector"), shared), f"{path}/rows")
+    sizes, far = np.zeros(len(index.centres), dtype=np.int64), np.zeros(len(index.centres))
+    for r in rows.groupBy("list").agg(F.countDistinct("vec_id").alias("k"), F.max("far").alias("far")).collect():  # CENTRES rows at most
+        sizes[r.list], far[r.list] = r.k, r.far
+    asking = all_.where("is_query").groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    queries = saved(probed(asking, shared, probes or enough, sizes, far, top), f"{path}/queries")
+    pieces = lambda df, most, name: df.groupBy("bundle").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    deal = F.broadcast(pieces(rows, SEGMENT, "segments").join(pieces(queries, QUERIES, "parts"), "bundle"))  # CENTRES rows at most
     own = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    rows = rows.join(deal, "list").select("list", own("segments").alias("segment"), every("parts").alias("part"), "vec_id", "vector")
-    queries = queries.join(deal, "list").select("list", every("segments").alias("segment"), own("parts").alias("part"), "vec_id", "vector")
-    keys = ("list", "segment", "part")
+    first = queries.where("seeds is not null").select(F.col("vec_id").alias("query_id"), F.explode(F.arrays_zip("seeds", "scores")).alias("s")).select("query_id", F.col("s.seeds").alias("vec_id"), F.col("s.scores").alias("score"))
+    rows = rows.join(deal, "bundle").select("bundle", own("segments").alias("segment"), every("parts").alias("part"), "list", "vec_id", "vector")
+    queries = queries.join(deal, "bundle").select("bundle", every("segments").alias("segment"), own("parts").alias("part"), "lists", "radius", "vec_id", "vector")
+    keys = ("bundle", "segment", "part")
     found = queries.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(searcher(shared, top), "query_id long, vec_id long, score double")
+    # Dealt by query once, for both steps.
+    found = found.unionByName(first).repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
