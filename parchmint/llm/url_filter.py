@@ -4,7 +4,7 @@ Host and path are cut out of the URL as text. A rule (host, path prefix, verdict
 and all subdomains where the URL's path starts with the rule's; the longest fitting rule decides.
 All other URLs get the verdict of a logistic regression over the n-grams (NGRAMS long) of host and
 path, each hashed to BUCKETS columns with its place (host or path), trained on the driver from a
-small labelled URL table (LABELLED, or one given). Model and rules are broadcast: BUCKETS
+small labelled URL table (labelled(), or one given). Model and rules are broadcast: BUCKETS
 weights, and MAX_RULES rules at most.
 
 Nulls: a null URL, or one without "://", has an empty host and path; with nothing to go by it is
@@ -24,9 +24,11 @@ from pyspark.sql import DataFrame
 from parchmint.llm.common import LOWER, UPPER, keeping, per_batch, scratch
 
 NGRAMS = (3, 4, 5)
-BUCKETS = 1 << 15
+BUCKETS = 1 << 16
 MAX_RULES = 100_000
-STEPS, RATE, DECAY = 400, 2.0, 1e-4
+STEPS, RATE, DECAY = 500, 4.0, 1e-5
+#: How much a blocked URL of the labelled table weighs beside an allowed one.
+BLOCKED = 2.0
 
 #: (host, path, verdict).
 RULES = (
@@ -37,31 +39,50 @@ RULES = (
     ("org", "/es/", "block"),
 )
 
-#: The labelled table: words that hosts and paths of unwanted and of wanted sites are made of.
+#: What the labelled table's hosts are made of. Words that tell an unwanted host.
 UNWANTED = (
-    "spam-farm", "cheap-pills", "casino-bonus", "free-casino", "online-poker", "hot-singles", "adult-cams", "xxx-videos", "porn-tube", "viagra-store", "pills-online", "payday-loans",
-    "quick-cash", "win-prizes", "lottery-winner", "click-bait", "ad-server", "ads-tracker", "malware-host", "phishing-bank", "crack-keygen", "warez-download", "torrent-hub", "fake-watches",
-    "replica-bags", "seo-links", "link-farm", "buy-followers", "crypto-doubler", "miracle-diet", "sports-bets", "free-spins", "adult-x", "free-bets", "xxx-adult", "win-casino",
-)
+    "casino poker slots roulette blackjack jackpot betting bets bookie lottery viagra cialis pills pharmacy meds steroids slimming porn xxx adult sex escort hookup "
+    "camgirls nude fetish milf payday loans lender debt forex doubler giveaway prizes winner replica rolex fake counterfeit spam clickbait popup adserver adclick tracker "
+    "malware phishing keylogger crack keygen warez torrent pirated cracked botnet followers likes backlinks linkfarm traffic miracle"
+).split()
+#: Words that tell a wanted one; some hold an unwanted word by chance.
 WANTED = (
-    "city-library", "open-university", "daily-news", "science-journal", "history-museum", "weather-report", "cooking-recipes", "garden-notes", "travel-guide", "language-school", "math-lectures",
-    "public-health", "music-archive", "film-reviews", "book-club", "river-trail", "town-council", "bird-watch", "code-docs", "chess-puzzles", "bike-repair", "poetry-corner", "astronomy-club",
-    "map-room", "family-tree", "reading-room",
-)
-#: Letter pairs common in English; wanted names without a theme are made of three of them.
-PAIRS = ("th", "in", "er", "an", "re", "on", "at", "en", "nd", "ti", "es", "or", "te", "of", "ed", "is", "it", "al", "ar", "st", "nt", "ng", "se", "ha")
-PLACES = ("example.com", "example.net", "example.org")
-FRAMES = (("", "/en/12"), ("www.", "/de/340.html"), ("blog.", "/fr/77/"), ("m.", "/es/5"))
+    "library university college school news journal museum weather recipes garden travel language lectures health hospital music film books club river town council birds code docs "
+    "chess bikes poetry astronomy maps family reading science history physics biology chemistry math engineering research data software linux kernel forum wiki archive photo "
+    "art design architecture opera theatre sport football tennis cycling hiking mountain lake ocean forest farm bakery coffee kitchen wine bank insurance post railway airport hotel "
+    "city county government court law charity church radio television press magazine review gazette tribune times herald observer institute academy laboratory foundation society "
+    "association network systems digital cloud labs studio works essex sussex cocktail analytics therapist grape scrape spelling lovers alphabet creditors specialist"
+).split()
+#: Words that either kind may have beside them.
+BESIDE = "free best easy online top real super mega my the daily new open local first global home world smart green blue red good fast big little hot cheap".split()
+#: What names without a word are made of.
+HEADS, VOWELS, TAILS = "b br c ch d dr f fl g gr h j k kr l m n p pl qu r s sh st t th tr v w z wh sk".split(), "a e i o u ai ea ie oo ou".split(), "b ck d l ll m n nd ng r rs s st t x sh ble ly ter".split()
+ENDS = ("com", "org", "net", "edu", "gov", "info", "io", "co.uk", "de", "fr", "es", "ac.jp", "com.br", "biz", "ru")
+FRONTS = ("", "www.", "blog.", "m.", "shop.", "news.")
+PATHS = ("", "/", "/index.html", "/about", "/post/2021/03/a-title", "/category/page", "/item?id=4", "/a/b/c.php", "/user/profile", "/2019/11/04", "/search", "/download/file.zip")
 
 
 def labelled() -> list[tuple[str, str]]:
-    """The small labelled URL table: (url, verdict)."""
+    """The small labelled URL table: (url, verdict). Whatever isn't the label's word goes round both kinds alike."""
+    names = []
+    for verdict, words, other in (("block", UNWANTED, BESIDE), ("allow", WANTED, BESIDE)):
+        for k, word in enumerate(words):
+            for j in range(4):
+                side = other[(5 * k + 7 * j) % len(other)]
+                names += [((word + side, f"{side}-{word}", f"{word}-{side}", side + word)[(k + j) % 4], verdict)]
+            second = words[(7 * k + 1) % len(words)]
+            names += [(word, verdict), (f"{word}{k % 90 + 10}", verdict), (f"{word}-{second}", verdict), (f"{second}{word}", verdict)]
+    part = lambda table, k: table[xxhash.xxh3_64_intdigest(f"{k}") % len(table)]
+    for k in range(700):
+        names.append(("".join(part(t, (k, i, j)) for i in range(k % 3 + 1) for j, t in enumerate((HEADS, VOWELS, TAILS))), "allow"))
     rows = []
-    plain = tuple(PAIRS[k % 24] + PAIRS[(7 * k + 3) % 24] + PAIRS[(5 * k + k // 24) % 24] for k in range(48))
-    for verdict, names in (("block", UNWANTED), ("allow", WANTED + plain)):
-        for k, name in enumerate(names):
-            for j, (front, path) in enumerate(FRAMES):
-                rows.append((f"http://{front}{name}.{PLACES[(k + j) % 3]}{path}", verdict))
+    for k, (name, verdict) in enumerate(names):
+        path = PATHS[k % len(PATHS)]
+        # A word of the label may stand in the path, of any host.
+        if k % 9 == 4:
+            words = UNWANTED if verdict == "block" else WANTED
+            path = f"/{words[k % len(words)]}/{k % 50}"
+        rows.append((f"http://{FRONTS[k % len(FRONTS)]}{name}.{ENDS[k % 7 * 2 % len(ENDS)] if k % 2 else ENDS[k % len(ENDS)]}{path}", verdict))
     return rows
 
 
@@ -123,20 +144,20 @@ def trained(table: Iterable[tuple[str, str]] | None = None, rules: Iterable[tupl
         if k >= MAX_RULES:
             raise ValueError(f"more than {MAX_RULES} rules")
         by_host.setdefault(host, []).append((path, verdict))
-    x = np.zeros((len(rows), BUCKETS), dtype=np.float32)
-    for row, (url, _) in zip(x, rows, strict=True):
-        at = list(grams(*host_path(url)))
-        row[at] = 1 / np.sqrt(max(1, len(at)))
-    y = np.array([verdict == "block" for _, verdict in rows], dtype=np.float32)
-    used = np.flatnonzero(x.any(0))
-    x, w, bias = x[:, used], np.zeros(len(used), dtype=np.float32), 0.0
-    for _ in range(STEPS if len(rows) else 0):
-        error = 1 / (1 + np.exp(-(x @ w + bias))) - y
-        w -= RATE * (x.T @ error / len(rows) * 10 + DECAY * w)
+    found = [list(grams(*host_path(url))) for url, _ in rows]
+    n = np.array([len(x) for x in found], dtype=np.int64)
+    row = np.repeat(np.arange(len(rows)), n)
+    at = np.array([k for x in found for k in x], dtype=np.int64)
+    value = 1 / np.sqrt(np.maximum(1, n))[row]
+    y = np.array([verdict == "block" for _, verdict in rows], dtype=np.float64)
+    weight = np.where(y > 0, BLOCKED, 1.0)
+    w, bias = np.zeros(BUCKETS), 0.0
+    for _ in range(STEPS if rows else 0):
+        margin = np.bincount(row, weights=w[at] * value, minlength=len(rows)) + bias
+        error = (1 / (1 + np.exp(-margin)) - y) * weight
+        w -= RATE * (np.bincount(at, weights=error[row] * value, minlength=BUCKETS) / len(rows) * 10 + DECAY * w)
         bias -= RATE * float(error.mean())
-    weights = np.zeros(BUCKETS, dtype=np.float32)
-    weights[used] = w
-    return Filter(by_host, weights, bias)
+    return Filter(by_host, w.astype(np.float32), bias)
 
 
 RESULTS = ("host", "path", "rule", "score", "verdict")
