@@ -4,7 +4,8 @@ A line's key is the line without ASCII space at both ends and with A-Z lower-cas
 least MIN_CHARS code points that at least MIN_DOCS documents hold lose all their lines, except
 in the largest doc_id that holds them; all other lines stay.
 
-A run is a table (hash, documents, keeper), sorted by hash in ranges. Documents come in batches.
+A run is a table (hash, documents, keeper), sorted by hash in ranges. Documents come in batches
+of equal numbers, the larger ids first; their bounds are quantiles of the ids.
 A new batch is aggregated to one row a hash, merge-anti-joined against the runs (what a run
 already calls frequent, with a keeper as large, is settled: the batch needn't add it again), and
 the rest is added as a run of level 0. FAN_OUT runs of one level are merged into one of the
@@ -17,7 +18,8 @@ in one task, so hashes with more than 1 / HOT_SHARE of all postings (HOT_SHARE a
 bounded broadcast) are joined by broadcast and the others by merge.
 
 Nulls: a null text is one empty line and comes back null. A null doc_id is a document below
-every other; rows of one id are one document.
+every other; rows of one id are one document, but each row's lost lines are gathered by (id, hash
+of its text), so that many texts of one id, or of none, don't meet in one cell.
 """
 
 from __future__ import annotations
@@ -52,15 +54,15 @@ def hashed(key: bytes) -> bytes:
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """(h1, h2, id): each long enough key of each document once."""
+    """docs (id, th, text). (h1, h2, id, th): each long enough key of each row once."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [{hashed(k) for k in set(keys(x)) if long_enough(k)} for x in bytes_of(batch.column(1))]
-        ids = np.repeat(batch.column(0).to_numpy(), [len(x) for x in found])
+        found = [{hashed(k) for k in set(keys(x)) if long_enough(k)} for x in bytes_of(batch.column(2))]
+        ids, texts = (np.repeat(batch.column(k).to_numpy(), [len(x) for x in found]) for k in (0, 1))
         two = np.frombuffer(b"".join(h for x in found for h in x), dtype="<i8").reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(two[:, 0]), pa.array(two[:, 1]), pa.array(ids)], names=["h1", "h2", "id"])
+        return pa.RecordBatch.from_arrays([pa.array(two[:, 0]), pa.array(two[:, 1]), pa.array(ids), pa.array(texts)], names=["h1", "h2", "id", "th"])
 
-    return docs.select(id_or_least().alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(per_batch(step), "h1 long, h2 long, id long")
+    return docs.mapInArrow(per_batch(step), "h1 long, h2 long, id long, th long")
 
 
 class Runs:
@@ -104,15 +106,15 @@ class Runs:
 
 
 def dropped_lines(docs: DataFrame, batches: int = N_BATCHES) -> DataFrame:
-    """(id, gone): per document that loses lines, their key hashes as one binary, 16 bytes each."""
+    """docs (id, th, text). (id, th, gone): per row that loses lines, the hashes of their keys."""
     path = scratch(docs.sparkSession, "line_dedup")
     # Larger ids first: what is settled then stays settled.
-    low, high = docs.agg(F.min("doc_id").cast("long"), F.max("doc_id").cast("long")).first()
-    width = max(1, -(-(high - low + 1) // batches)) if high is not None else 1
-    batch = F.least(F.lit(batches - 1), F.floor((F.lit(high or 0) - F.greatest(F.col("id"), F.lit(low or 0))) / F.lit(width))).cast("int")
+    shares = [1 - (k + 1) / batches for k in range(batches - 1)]
+    bounds = docs.agg(F.percentile_approx("id", shares, 10_000)).first()[0] if shares else None
+    batch = sum((F.when(F.col("id") <= b, 1).otherwise(0) for b in bounds or ()), F.lit(0))
     held = postings(docs).withColumn("batch", batch)
     held.write.partitionBy("batch").parquet(f"{path}/postings")
-    held = docs.sparkSession.read.schema("h1 long, h2 long, id long, batch int").parquet(f"{path}/postings")
+    held = docs.sparkSession.read.schema("h1 long, h2 long, id long, th long, batch int").parquet(f"{path}/postings")
     runs = Runs(path)
     for k in range(batches):
         runs.add(held.where(F.col("batch") == k).select("h1", "h2", "id").distinct())
@@ -120,10 +122,10 @@ def dropped_lines(docs: DataFrame, batches: int = N_BATCHES) -> DataFrame:
     total = held.count()
     hot = held.groupBy("h1", "h2").agg(F.count("*").alias("k")).where(F.col("k") > max(MIN_DOCS, total // HOT_SHARE)).select("h1", "h2")
     hot = F.broadcast(frequent.join(hot, ["h1", "h2"]))
-    rest = held.select("h1", "h2", "id").join(hot.select("h1", "h2"), ["h1", "h2"], "left_anti")
-    gone = held.join(hot, ["h1", "h2"]).select("id", "keeper", "h1", "h2").unionByName(rest.join(frequent, ["h1", "h2"]).select("id", "keeper", "h1", "h2")).where("id < keeper")
-    # A document's own lines bound what is gathered for it.
-    return gone.groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
+    rest = held.select("h1", "h2", "id", "th").join(hot.select("h1", "h2"), ["h1", "h2"], "left_anti")
+    gone = held.join(hot, ["h1", "h2"]).select("id", "th", "keeper", "h1", "h2").unionByName(rest.join(frequent, ["h1", "h2"]).select("id", "th", "keeper", "h1", "h2")).where("id < keeper")
+    # A text's own lines bound what is gathered for it.
+    return gone.groupBy("id", "th").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
 
 
 RESULTS = ("kept_text", "n_lines", "n_dropped", "kept_sha256")
@@ -135,7 +137,8 @@ def dedup_lines(docs: DataFrame, batches: int = N_BATCHES) -> DataFrame:
 
     kept_text is null where text is null or where all of its lines go.
     """
-    gone = dropped_lines(docs.select("doc_id", F.col("text").cast("string").alias("text")), batches)
+    text = F.col("text").cast("string")
+    gone = dropped_lines(docs.select(id_or_least().alias("id"), F.xxhash64(text).alias("th"), text.alias("text")), batches)
     names = [c for c in docs.columns if c not in RESULTS]
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -155,7 +158,7 @@ def dedup_lines(docs: DataFrame, batches: int = N_BATCHES) -> DataFrame:
         new = [pa.array(out[0], pa.binary()).cast(pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string())]
         return pa.RecordBatch.from_arrays(own + new, names=[*names, *RESULTS])
 
-    rows = docs.select(*[docs[c] for c in names], docs["text"].cast("string").alias("_text"), id_or_least().alias("_id"))
-    joined = rows.join(gone.withColumnRenamed("id", "_id"), "_id", "left").drop("_id")
+    rows = docs.select(*[docs[c] for c in names], docs["text"].cast("string").alias("_text"), id_or_least().alias("_id"), F.xxhash64(docs["text"].cast("string")).alias("_th"))
+    joined = rows.join(gone.withColumnsRenamed({"id": "_id", "th": "_th"}), ["_id", "_th"], "left").drop("_id", "_th")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema), "kept_text string", "n_lines long", "n_dropped long", "kept_sha256 string"])
     return joined.mapInArrow(per_batch(step), schema)
