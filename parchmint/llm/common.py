@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from parchmint.session import shared_folder
+
 #: The white space of every contract here, as a regular-expression class and as characters.
 SPACE = r"\x20\x09-\x0D"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -24,17 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared checkpoint folder; one of its own only where none is set.
+#: Rows in an Arrow batch, so that long texts don't fill a Python worker; a number that the user has set stays.
+ARROW_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "500")
 
-    Arrow batches are kept small as well, so that long texts don't fill a Python worker.
-    """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="parchmint-")
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/parchmint/{name}-{uuid.uuid4().hex}"
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared checkpoint folder."""
+    key, default, rows = ARROW_ROWS
+    if spark.conf.get(key) == default:
+        spark.conf.set(key, rows)
+    return shared_folder(spark, name)
 
 
 def saved(df: DataFrame, path: str) -> DataFrame:
@@ -99,3 +99,19 @@ def keeping(*needed: str, results: tuple[str, ...] = ()) -> Callable:
 def n_words(text: Column) -> Column:
     """How many runs of non-space a text has; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
+
+
+def summed_before(rows: DataFrame, order: list[Column], sums: dict[str, Column], path: str) -> DataFrame:
+    """rows with the sum over all rows before them, in the given order, for each of sums.
+
+    Rows are range-partitioned by the order and written; ranges are summed, and only one row for
+    each range is summed in one task.
+    """
+    dealt = saved(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), path)
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    whole = dealt.groupBy("_range").agg(*[F.sum(x).alias(f"_all_{k}") for k, x in sums.items()])
+    ahead = whole.select("_range", *[F.coalesce(F.sum(f"_all_{k}").over(before.orderBy("_range")), F.lit(0)).alias(f"_ahead_{k}") for k in sums])
+    within = before.partitionBy("_range").orderBy(*order)
+    out = dealt.withColumns({f"_within_{k}": F.coalesce(F.sum(x).over(within), F.lit(0)) for k, x in sums.items()}).join(F.broadcast(ahead), "_range")  # a row for each partition
+    names = rows.columns
+    return out.select(*names, *[(F.col(f"_ahead_{k}") + F.col(f"_within_{k}")).alias(k) for k in sums])
