@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from parchmint.llm import ann, chunk_bpe, line_dedup, mixing, ngram_join, order_minhash, quality, quotes, token_files, url_filter
+from parchmint.llm import pipeline as stages
 from parchmint.llm.common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,12 +58,12 @@ def op4_chat_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quote_digest(found: DataFrame) -> DataFrame:
-    return found.select("conv_id", "turn", "role", "thread", "depth", "reply_to", "n_quotes", "n_linked", "far_conv", "far_turn", F.sha2("own_text", 256).alias("own_sha256"))
+    return found.select("conv_id", "turn", "role", "thread", "depth", "position", "reply_to", "n_quotes", "n_linked", "far_conv", "far_turn", F.sha2("own_text", 256).alias("own_sha256"))
 
 
 def op5_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mixed(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.shares(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +94,7 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf_dir)
+    return stages.run(spark, sf_dir)
 
 
 OP4_SQL = r"""
@@ -107,7 +108,7 @@ WITH RECURSIVE parts AS (
   SELECT *, length(lead) - length(replace(lead, '>', '')) AS level,
          CASE WHEN contains(lead, '>') THEN regexp_replace(raw, '^[ \t>]*>', '') ELSE raw END AS body FROM leads
 ), kinds AS (
-  SELECT *, CASE WHEN level = 0 AND regexp_full_match(body, '[ \t\r\f\x0B]*') THEN -1 ELSE level END AS kind FROM leveled
+  SELECT *, CASE WHEN regexp_full_match(body, '[ \t\r\f\x0B]*') THEN -1 ELSE level END AS kind FROM leveled
 ), marks AS (
   SELECT *, CASE WHEN lag(kind) OVER (PARTITION BY conv_id, turn, text ORDER BY i) = kind THEN 0 ELSE 1 END AS new FROM kinds
 ), runs AS (
@@ -120,6 +121,7 @@ WITH RECURSIVE parts AS (
   SELECT conv_id, turn, text, place, any_value(kind) AS level, string_agg(body, ' ' ORDER BY i) AS body
   FROM runs WHERE kind >= 0 GROUP BY conv_id, turn, text, place
   UNION ALL SELECT conv_id, turn, text, -1, 0, own_text FROM own
+  UNION ALL SELECT conv_id, turn, text, -2, 0, body FROM runs WHERE kind = 0
 ), passages AS (
   SELECT conv_id, turn, text, place, level,
          trim(translate(regexp_replace(body, '[\x20\x09-\x0D]+', ' ', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS body
@@ -148,6 +150,7 @@ WITH RECURSIVE parts AS (
   SELECT conv_id, turn, arg_max(up, depth) AS thread, max(depth) AS depth FROM climb GROUP BY conv_id, turn
 )
 SELECT c.conv_id, c.turn, c.role, coalesce(t.thread, c.turn) AS thread, coalesce(t.depth, 0)::BIGINT AS depth, p.reply_to,
+       rank() OVER (PARTITION BY c.conv_id ORDER BY coalesce(t.thread, c.turn) NULLS FIRST, coalesce(t.depth, 0), p.reply_to NULLS FIRST, c.turn NULLS FIRST, sha256(c.text) NULLS FIRST) - 1 AS position,
        coalesce(p.n_quotes, 0) AS n_quotes, coalesce(p.n_linked, 0) AS n_linked, p.far.c AS far_conv, p.far.t AS far_turn, sha256(o.own_text) AS own_sha256
 FROM conversations c
 JOIN own o ON o.conv_id IS NOT DISTINCT FROM c.conv_id AND o.turn IS NOT DISTINCT FROM c.turn AND o.text IS NOT DISTINCT FROM c.text
@@ -156,6 +159,28 @@ LEFT JOIN tops t ON t.conv_id IS NOT DISTINCT FROM c.conv_id AND t.turn = c.turn
 """
 
 
+#: Conversations whose turns quote the two before them: as (conv_id, turn, role, text), in both dialects.
+QUOTED_SQL = r"""
+SELECT c.conv_id, c.turn, c.role,
+       coalesce(CASE WHEN c.turn % 4 = 3 THEN concat('> > ', replace(b.text, chr(10), concat(chr(10), '> > ')), chr(10)) END, '')
+       || coalesce(CASE WHEN c.turn % 4 <> 0 THEN concat('> ', replace(a.text, chr(10), concat(chr(10), '> ')), chr(10)) END, '')
+       || coalesce(c.text, '') AS text
+FROM conversations c
+LEFT JOIN (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY conv_id, turn) a ON a.conv_id = c.conv_id AND a.turn = c.turn - 1
+LEFT JOIN (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY conv_id, turn) b ON b.conv_id = c.conv_id AND b.turn = c.turn - 2
+"""
+
+
+def quoted_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4's operator over conversations that do quote."""
+    table(spark, sf_dir, "conversations").createOrReplaceTempView(view := f"conversations_{uuid.uuid4().hex}")
+    return quote_digest(quotes.formatted(spark.sql(QUOTED_SQL.replace("FROM conversations", f"FROM {view}"))))
+
+
+def quoted_sql() -> str:
+    return OP4_SQL.replace("FROM conversations", "FROM quoted").replace("WITH RECURSIVE ", f"WITH RECURSIVE quoted AS ({QUOTED_SQL}), ")
+
+
 OP5_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
@@ -190,8 +215,8 @@ FROM sized s JOIN budgets b ON s.source IS NOT DISTINCT FROM b.source
 
 
 def queries() -> dict[str, Query]:
-    return {name: f for name, f in globals().items() if (name.startswith("op") or name == "pipeline") and callable(f)}
+    return {name: f for name, f in globals().items() if (name.startswith("op") or name in ("pipeline", "quoted_conversations")) and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op4_chat_quotation_linking": OP4_SQL, "op5_mixing_sources": OP5_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op4_chat_quotation_linking": OP4_SQL, "quoted_conversations": quoted_sql(), "op5_mixing_sources": OP5_SQL}

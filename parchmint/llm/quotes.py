@@ -1,17 +1,21 @@
 """Chat formatting by quotation linking, in DataFrame functions alone.
 
 A line's quote level is the number of '>' in its leading run of '>', spaces and tabs. A message's
-own text is its lines of level 0. A quoted passage is a run of consecutive lines of one level
-above 0; an original passage is a run of consecutive non-blank lines of level 0, or a message's
-whole own text. Passages are normalised (A-Z lower-cased, white space to single spaces, none at
-the ends) and hashed; empty ones don't count.
+own text is its lines of level 0. A quoted passage is a run of consecutive non-blank lines of one
+level above 0, so a quote of several paragraphs is as many passages. An original passage is a run
+of consecutive non-blank lines of level 0, each line of one, or a message's whole own text: a
+quote may thus be of all paragraphs, some of them, or one line. Passages are normalised (A-Z
+lower-cased, white space to single spaces, none at the ends) and hashed; empty ones don't count.
 
 A quoted passage links to the latest earlier turn of its conversation that has an original
 passage with its hash, or else to the least (conv_id, turn) of any other conversation that has
 one. A message replies to what the linked passage of its lowest level links to within the
 conversation (of several, the first), else to nothing. Messages that reply to nothing begin
-threads. Reply order within a conversation is (thread, depth, reply_to, turn): every message
-comes after the one it replies to.
+threads. Reply order within a conversation is (thread, depth, reply_to, turn, text): every message
+comes after the one it replies to. position tells how many messages of the conversation come
+before; equal messages share it. It is a prefix sum over ranges of all messages in order, so a
+conversation that holds a third of all rows isn't one task. `conversations` builds the
+conversations themselves, without quotes, in parts of PART messages.
 
 Within a conversation the latest earlier original is found as a running value in stretches of
 turns (STRETCH), carried over stretches by one row each, so a passage that a whole conversation
@@ -27,18 +31,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parchmint.llm.common import LOWER, UPPER, keeping, saved, scratch
+from parchmint.llm.common import LOWER, UPPER, keeping, saved, scratch, summed_before
 
 STRETCH, SALTS = 4096, 16
 ROUNDS = 64
+#: The most messages in one row of an assembled conversation.
+PART = 1000
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """messages with own_text and _runs: [(place, level, body)], level -1 for blank lines of no quote."""
+    """messages with own_text and _runs: [(place, level, body)], level -1 for blank lines."""
     steps = [
         ("_lines", F.expr(r"transform(split(coalesce(text, ''), '\n', -1), x -> struct(x as raw, regexp_extract(x, '^[ \\t>]*', 0) as lead))")),
         ("_lines", F.expr(r"transform(_lines, x -> struct(x.raw as raw, length(x.lead) - length(replace(x.lead, '>', '')) as level, if(contains(x.lead, '>'), regexp_replace(x.raw, '^[ \\t>]*>', ''), x.raw) as body))")),
-        ("_lines", F.expr(r"transform(_lines, x -> struct(x.raw as raw, x.level as level, x.body as body, if(x.level = 0 and x.body rlike '^[ \\t\\r\\f\\x0B]*$', -1, x.level) as kind))")),
+        ("_lines", F.expr(r"transform(_lines, x -> struct(x.raw as raw, x.level as level, x.body as body, if(x.body rlike '^[ \\t\\r\\f\\x0B]*$', -1, x.level) as kind))")),
         ("_begin", F.expr("filter(transform(_lines, (x, i) -> if(i = 0 or x.kind <> get(_lines, i - 1).kind, i, -1)), i -> i >= 0)")),
         ("_runs", F.expr("transform(_begin, (b, j) -> struct(j as place, get(_lines, b).kind as level, array_join(transform(slice(_lines, b + 1, coalesce(get(_begin, j + 1), size(_lines)) - b), x -> x.body), ' ') as body))")),
         ("own_text", F.expr(r"regexp_replace(regexp_replace(array_join(transform(filter(_lines, x -> x.level = 0), x -> x.raw), '\n'), '^[ \\t\\r\\f\\x0B\\n]+', ''), '[ \\t\\r\\f\\x0B\\n]+$', '')")),
@@ -57,7 +63,8 @@ def passages(messages: DataFrame) -> DataFrame:
     """(m, conv_id, turn, place, level, h1, h2): originals have level 0."""
     runs = messages.select("m", "conv_id", "turn", F.explode("_runs").alias("r")).select("m", "conv_id", "turn", "r.place", "r.level", "r.body").where("level >= 0")
     whole = messages.select("m", "conv_id", "turn", F.lit(-1).alias("place"), F.lit(0).alias("level"), F.col("own_text").alias("body"))
-    every = runs.unionByName(whole).withColumn("body", normalised("body")).where("body <> ''")
+    lines = messages.select("m", "conv_id", "turn", F.lit(-2).alias("place"), F.lit(0).alias("level"), F.explode(F.split("own_text", "\n")).alias("body"))
+    every = runs.unionByName(whole).unionByName(lines).withColumn("body", normalised("body")).where("body <> ''")
     return every.select("m", "conv_id", "turn", "place", "level", F.xxhash64("body").alias("h1"), F.xxhash64(F.lit(1), "body").alias("h2"))
 
 
@@ -103,15 +110,15 @@ def threads(replies: DataFrame, path: str) -> DataFrame:
     raise RuntimeError("replies did not settle")
 
 
-RESULTS = ("own_text", "n_quotes", "n_linked", "reply_to", "thread", "depth", "far_conv", "far_turn")
+RESULTS = ("own_text", "n_quotes", "n_linked", "reply_to", "thread", "depth", "position", "far_conv", "far_turn")
 
 
 @keeping("conv_id", "turn", "text", results=RESULTS)
 def formatted(conversations: DataFrame) -> DataFrame:
     """conversations (conv_id, turn, text and any others), one row for each message.
 
-    Adds own_text (without quotes), n_quotes, n_linked, reply_to, thread, depth, and the outside
-    original of the first passage that links elsewhere: far_conv, far_turn.
+    Adds own_text (without quotes), n_quotes, n_linked, reply_to, thread, depth, position, and the
+    outside original of the first passage that links elsewhere: far_conv, far_turn.
     """
     path = scratch(conversations.sparkSession, "quotes")
     kept = [c for c in conversations.columns if c not in RESULTS]
@@ -126,5 +133,26 @@ def formatted(conversations: DataFrame) -> DataFrame:
     replies = rows.where("reply_to is not null").groupBy("conv_id", "turn").agg(F.min("reply_to").alias("reply_to"))
     ends = threads(replies, f"{path}/threads").withColumnRenamed("conv_id", "_c").withColumnRenamed("turn", "_t")
     out = rows.join(ends, rows["conv_id"].eqNullSafe(F.col("_c")) & (rows["turn"] == F.col("_t")), "left")
+    out = saved(out.drop("_c", "_t").withColumns({"thread": F.coalesce("thread", "turn"), "depth": F.coalesce("depth", F.lit(0)).cast("long")}), f"{path}/threaded")
+    at = positions(out, path)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    return out.select(*kept, "own_text", zero("n_quotes"), zero("n_linked"), "reply_to", F.coalesce("thread", "turn").alias("thread"), zero("depth"), F.col("far.to_conv").alias("far_conv"), F.col("far.to_turn").alias("far_turn"))
+    return out.join(at, "m").select(*kept, "own_text", zero("n_quotes"), zero("n_linked"), "reply_to", "thread", "depth", "position", F.col("far.to_conv").alias("far_conv"), F.col("far.to_turn").alias("far_turn"))
+
+
+def positions(rows: DataFrame, path: str) -> DataFrame:
+    """(m, position) of each message of rows (m, conv_id, turn, text, thread, depth, reply_to)."""
+    order = ["conv_id", "thread", "depth", "reply_to", "turn", "text_hash", "m"]
+    keys = rows.groupBy("m").agg(*[F.first(c).alias(c) for c in order[:5]], F.first(F.sha2("text", 256)).alias("text_hash"), F.count("*").alias("k"))
+    ahead = saved(summed_before(keys, [F.col(c).asc_nulls_first() for c in order], {"ahead": F.col("k")}, f"{path}/ordered"), f"{path}/ahead")
+    begins = ahead.groupBy("conv_id").agg(F.min("ahead").alias("begin")).withColumnRenamed("conv_id", "_c")
+    return ahead.join(begins, ahead["conv_id"].eqNullSafe(begins["_c"])).select("m", (F.col("ahead") - F.col("begin")).alias("position"))
+
+
+def conversations(found: DataFrame) -> DataFrame:
+    """(conv_id, part, messages) of what `formatted` gives: turns, depths and own texts in reply order, PART messages in a row at most.
+
+    Messages that share a position come in no particular order; a part of more than PART equal
+    messages is as long as they are many.
+    """
+    message = F.struct("position", "turn", "depth", "reply_to", "own_text")
+    return found.groupBy("conv_id", F.floor(F.col("position") / PART).alias("part")).agg(F.array_sort(F.collect_list(message)).alias("messages"))
