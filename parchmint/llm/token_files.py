@@ -10,7 +10,7 @@ lost executor's attempt leaves nothing behind:
   checkpoints (rans.py); crc is checked when it is read.
 
 Ids of all documents are counted for the table. Documents are range-partitioned by doc_id, ties
-by a hash, so an id that many rows hold doesn't fill one part. Nulls: a null text is an empty
+by a hash and equal rows at random, so an id that many rows hold doesn't fill one part. Nulls: a null text is an empty
 one and encodes to the end id alone; a null doc_id comes before every other.
 """
 
@@ -99,7 +99,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
         if held:
             yield row()
 
-    ordered = ids.withColumn("tie", F.xxhash64("ids")).repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").select("id", "ids")
+    ordered = ids.withColumn("tie", F.xxhash64("ids")).withColumn("deal", F.rand(7)).repartitionByRange("id", "tie", "deal").sortWithinPartitions("id", "tie").select("id", "ids")
     ordered.mapInArrow(pack, BLOCKS).write.parquet(f"{folder}/blocks")
 
 

@@ -108,11 +108,17 @@ class Encoder:
         self.bare = bool(suffix) and self._probe()
 
     def _probe(self) -> bool:
-        words = ["a", "the", "thingor", "zu", "für", "été", "ñandú", "straße", "x" * 40, "encyclopaedia"]
+        """Whether words go to the model alone: tried with every PLAIN letter in three places, and every mark after every letter."""
+        letters = sorted(PLAIN)
+        words = [w for c in letters for w in (c, f"{c}the", f"the{c}", c + c)] + ["x" * 40, "encyclopaedia", "thingor"]
+        upper = [c.upper() for c in letters if len(c.upper()) == 1 and c.upper().lower() == c]
+        pairs = [(c, m + more) for c in (*letters, "the") for m in MARKS.decode() for more in ("", "b", m)]
         try:
-            return self._cores(words) == self._packed(words) and self._packed(["The,", "ÉTÉ!!", "a|"]) == [b"".join(self._packed([x, y])) for x, y in (("the", ","), ("été", "!!"), ("a", "|"))]
+            alone = self._cores(words) == self._packed(words) and self._cores([c.lower() for c in upper]) == self._packed(upper)
         except ValueError:
             return False
+        cut = [b"".join(x) for x in zip(self._packed([a for a, _ in pairs]), self._packed([b for _, b in pairs]), strict=True)]
+        return alone and self._packed([a + b for a, b in pairs]) == cut
 
     def _packed(self, texts: list[str]) -> list[bytes]:
         kind = "H" if self.dtype.itemsize == 2 else "I"
