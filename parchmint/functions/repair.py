@@ -39,11 +39,8 @@ def general(d: Dialect, x: str) -> str:
 
 
 def common_words(d: Dialect, x: str) -> str:
-    """Texts without any of the misread words are left after one look."""
-    fixed = x
-    for wrong, right in lex.COMMON_WORDS:
-        fixed = d.words(fixed, wrong, right)
-    return d.when((d.like(x, "|".join(w for w, _ in lex.COMMON_WORDS)), fixed), other=x)
+    """Misread words mended, in one pass; texts without any of them are left after one look."""
+    return d.when((" OR ".join(d.any_of(x, (w for w, _ in lex.COMMON_WORDS))), d.replaced_words(x, lex.COMMON_WORDS)), other=x)
 
 
 def section_steps(d: Dialect, lines: str, begin: str, end: str, name: str = "") -> list[tuple[str, str]]:
@@ -104,14 +101,19 @@ def dates(d: Dialect, x: str) -> str:
     return d.rules(x, [("\u0002([0-9])-", "\u00020$1-"), ("(\u0002[0-9]{2})-([0-9])-", "$1-0$2-"), ("-([0-9]{3})\u0003", "-0$1\u0003"), ("[\u0002\u0003]", "")])
 
 
+def either_case(label: str) -> str:
+    """A label's words, each with a first letter of either case, any white space between."""
+    return f"[{WS}]*".join(f"[{w[0].upper()}{w[0].lower()}]{w[1:]}" for w in label.split())
+
+
 def form(d: Dialect, x: str) -> str:
     """Labels of forms, their colons, check boxes; the last character of a field's line moves to a new line."""
-    for pattern, label in lex.FORM_LABELS:
-        x = d.words(x, pattern, label)
-    for _, label in lex.FORM_LABELS:
+    for label in lex.FORM_LABELS:
+        x = d.words(x, either_case(label), label)
+    for label in lex.FORM_LABELS:
         x = d.rr(x, rf"({label})[{WS}]+([^:\n]+)", "$1: $2")
     x = d.rules(x, [(rf"\[[{WS}]*[xX✓✔][{WS}]*\]", "☑"), (rf"\[[{WS}]*\]", "☐")])
-    for _, label in lex.FORM_LABELS:
+    for label in lex.FORM_LABELS:
         x = d.rr(x, rf"({label}:[{WS}]+[^\n]+)([^\n])", "$1\n$2")
     return x
 

@@ -67,13 +67,15 @@ MONTH = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*"
 
 def structured(d: Dialect, x: str) -> str:
     """SUMMARY with PEOPLE, ORGANIZATIONS, LOCATIONS and DATES found in it, first occurrences first."""
-    edge = lambda p: d.map(d.extract_all(x, rf"(?:\A|[^{WORD}])({p})(?:[^{WORD}]|\z)", 1), lambda v: v)
-    people = edge(rf"[A-Z][a-z]+(?:[{WS}]+[A-Z][a-z]+){{1,2}}")
-    suffix = "Inc|Corp|Co|Ltd|LLC|Company|Association|Organization"
-    organizations = d.concat_lists(edge(rf"[A-Z][a-z]*(?:[{WS}]+[A-Z][a-z]*)+[{WS}]+(?:{suffix})"), edge("[A-Z][A-Z]+"))
-    locations = edge(rf"[A-Z][a-z]+(?:,[{WS}]+[A-Z][a-z]+)?")
-    day = "[0-9]{1,2}(?:st|nd|rd|th)?"
-    dates = d.concat_lists(edge("[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}"), edge(rf"{MONTH}[{WS}]+{day},?[{WS}]+[0-9]{{2,4}}"), edge(rf"{day}[{WS}]+(?:of[{WS}]+)?{MONTH},?[{WS}]+[0-9]{{2,4}}"))
+    found = lambda *words: d.extract_words(x, "".join(words))
+    w, gap = d.whole, f"[{WS}]+"
+    name, capital = w("[A-Z][a-z]+"), w("[A-Z][a-z]*")
+    people = found(f"{name}(?:{gap}{name}){{1,2}}")
+    suffix = w("Inc|Corp|Co|Ltd|LLC|Company|Association|Organization")
+    organizations = d.concat_lists(found(f"{capital}(?:{gap}{capital})+{gap}{suffix}"), found(w("[A-Z][A-Z]+")))
+    locations = found(f"{name}(?:,{gap}{name})?")
+    day, year, two = w("[0-9]{1,2}(?:st|nd|rd|th)?"), w("[0-9]{2,4}"), w("[0-9]{1,2}")
+    dates = d.concat_lists(found(f"{two}[/-]{two}[/-]{year}"), found(f"{w(MONTH)}{gap}{day},?{gap}{year}"), found(f"{day}{gap}(?:{w('of')}{gap})?{w(MONTH)},?{gap}{year}"))
     nl = d.lit("\n")
     part = lambda name, xs, k: d.when((f"{d.size(xs)} > 0", f"{nl} || {nl} || '{name}:' || {nl} || {d.join(d.slice(d.distinct(xs), 1, k), ', ')}"), other="''")
     return d.strip(f"'SUMMARY:' || {nl} || {x} || {part('PEOPLE', people, 3)} || {part('ORGANIZATIONS', organizations, 3)} || {part('LOCATIONS', locations, 3)} || {part('DATES', dates, 2)}")

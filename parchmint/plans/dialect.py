@@ -67,13 +67,12 @@ class Dialect:
 class Spark(Dialect):
     name = "spark"
 
-    def __init__(self, sf_dir: str = "", width: Callable[[str], int] = lambda path: 0) -> None:
-        self.sf_dir, self.width = sf_dir, width
+    def __init__(self, sf_dir: str = "", spread: int = 0) -> None:
+        self.sf_dir, self.spread = sf_dir, spread
 
     def table(self, name: str) -> str:
-        path = f"{self.sf_dir}/{name}.parquet"
-        spread = self.width(path)
-        return f"(SELECT /*+ REPARTITION({spread}) */ * FROM parquet.`{path}`)" if spread else f"parquet.`{path}`"
+        path = f"parquet.`{self.sf_dir}/{name}.parquet`"
+        return f"(SELECT /*+ REPARTITION({self.spread}) */ * FROM {path})" if self.spread else path
 
     def lit(self, s: str) -> str:
         return "'" + s.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n").replace("\t", "\\t") + "'"
@@ -101,6 +100,20 @@ class Spark(Dialect):
     def extract_all(self, x: str, p: str, g: int = 0) -> str:
         return f"regexp_extract_all({x}, {self.lit(p)}, {g})"
 
+    def whole(self, word: str) -> str:
+        """A pattern of whole words, for extract_words."""
+        return rf"(?<![{WORD}])(?:{word})(?![{WORD}])"
+
+    def extract_words(self, x: str, p: str) -> str:
+        """All matches of a pattern whose words are made by `whole`; neighbours share an edge."""
+        return self.extract_all(x, p)
+
+    def replaced_words(self, x: str, pairs: Iterable[tuple[str, str]]) -> str:
+        """Whole words looked up and replaced, in one pass over the words."""
+        t = self.unique()
+        known = ", ".join(f"{self.lit(a)}, {self.lit(b)}" for a, b in pairs)
+        return f"array_join(transform({self.extract_all(x, f'[{WORD}]+|[^{WORD}]+')}, {t} -> coalesce(element_at(map({known}), {t}), {t})), '')"
+
     def count(self, x: str, p: str) -> str:
         return f"regexp_count({x}, {self.lit(p)})"
 
@@ -236,6 +249,19 @@ class Duck(Dialect):
     def extract_all(self, x: str, p: str, g: int = 0) -> str:
         return f"regexp_extract_all({x}, {self.lit(p)}, {g})"
 
+    def whole(self, word: str) -> str:
+        return f"\u0001(?:{word})\u0002"
+
+    def extract_words(self, x: str, p: str) -> str:
+        """Every word stands between two marks while the pattern is matched."""
+        marked = f"regexp_replace({x}, {self.lit(f'([{WORD}]+)')}, {self.lit(chr(1) + chr(92) + '1' + chr(2))}, 'g')"
+        return self.map(self.extract_all(marked, p), lambda v: f"replace(replace({v}, chr(1), ''), chr(2), '')")
+
+    def replaced_words(self, x: str, pairs: Iterable[tuple[str, str]]) -> str:
+        for wrong, right in pairs:
+            x = self.words(x, wrong, right)
+        return x
+
     def count(self, x: str, p: str) -> str:
         return f"len(regexp_extract_all({x}, {self.lit(p)}))"
 

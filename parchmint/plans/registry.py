@@ -8,29 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from parchmint.plans import more_queries, row_queries, text_queries
 from parchmint.plans.dialect import DUCK, Dialect, Spark
+from parchmint.session import SPREAD
 
 Query = Callable[[SparkSession, str], DataFrame]
 TWINS: dict[str, Callable[[Dialect], str]] = {"flagship": text_queries.flagship} | text_queries.QUERIES | more_queries.QUERIES
 
 
-#: A table of one file in this range of bytes is one row group or two, and so one task or two; it is dealt to all cores.
-SPREAD = (1 << 19, 64 << 20)
-
-
-def spread(spark: SparkSession) -> Callable[[str], int]:
-    """How many tasks to deal a small table to, 0 to leave it as its files are cut."""
-
-    def width(path: str) -> int:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at)
-        return spark.sparkContext.defaultParallelism if found.getFileCount() == 1 and SPREAD[0] < found.getLength() < SPREAD[1] else 0
-
-    return width
-
-
 def runs(twin: Callable[[Dialect], str]) -> Query:
-    return lambda spark, sf_dir: spark.sql(twin(Spark(sf_dir, spread(spark))))
+    return lambda spark, sf_dir: spark.sql(twin(Spark(sf_dir, int(spark.conf.get(SPREAD, "0")))))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

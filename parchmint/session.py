@@ -13,9 +13,11 @@ from pyspark.sql import SparkSession
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
-    # The filter it infers below an explode repeats the exploded expression, once for each element of its inputs.
-    "spark.sql.optimizer.excludedRules": "org.apache.spark.sql.catalyst.optimizer.InferFiltersFromGenerate",
 }
+#: The filter it infers below an explode repeats the exploded expression, once for each element of its inputs.
+EXCLUDED = "org.apache.spark.sql.catalyst.optimizer.InferFiltersFromGenerate"
+#: A setting of this engine: how many tasks every input table is dealt to, whatever its size; 0 leaves tables as their files are cut.
+SPREAD = "parchmint.spread"
 
 
 def session(master: str | None = None, **more: str) -> SparkSession:
@@ -28,6 +30,9 @@ def ready(spark: SparkSession) -> SparkSession:
     """Apply SETTINGS to a session that exists, and let its Python workers find this package."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    rules = [r for r in (spark.conf.get("spark.sql.optimizer.excludedRules", None) or "").split(",") if r]
+    if EXCLUDED not in rules:
+        spark.conf.set("spark.sql.optimizer.excludedRules", ",".join([*rules, EXCLUDED]))
     root = str(Path(__file__).resolve().parent.parent)
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
@@ -35,10 +40,29 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in spark.checkpoint.dir; in one of the machine's own only where that isn't set, as in tests."""
+def shared_root(spark: SparkSession) -> str:
+    """This application's folder in spark.checkpoint.dir.
+
+    Where that isn't set, a local master gets a folder of the machine's own; a cluster gets an
+    error, since its executors wouldn't see such a folder.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="parchmint-")
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/parchmint/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/parchmint/{spark.sparkContext.applicationId}"
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below shared_root."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove all that this application wrote below shared_root; results that still read from there are lost."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(shared_root(spark))
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)

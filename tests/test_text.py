@@ -56,6 +56,7 @@ def test_typed_repairs(spark):
     assert both(spark, "Name Budi\nNIK 3201234567890123\ntgl 1/2/99", fixed(repair.id_card)) == "NAMA: Budi\nNIK: 3201 2345 6789 0123tgl 01-02-99"
     assert both(spark, "[x] yes [ ] no", fixed(repair.form)) == "☑ yes ☐ no"
     assert both(spark, "5/6/49 40/1/2000 05.06.51", fixed(repair.indonesian_dates)) == "05-06-2049 40/1/2000 05-06-1951"
+    assert both(spark, "tbe tbe,ofthe_ x-arid ca11 frorntbe", fixed(repair.common_words)) == "the the,ofthe_ x-and call from the"
     assert both(spark, "tbe  lineIine rnay 1O2", fixed(repair.cleaned)) == "the line Iine may 102"
     assert both(spark, "a\\b \n c", fixed(repair.flattened)) == "ab c"
     assert both(spark, "a_b*c\\d.", fixed(repair.escaped)) == "a\\_b\\*c\\\\d\\."
@@ -132,6 +133,12 @@ def test_summaries(spark):
     assert bullets == "• One.\n• Two!\n• three."
     said = both(spark, "Anna Maria met NATO on 1/2/2024.", fixed(summary.structured))
     assert "PEOPLE:\nAnna Maria" in said and "ORGANIZATIONS:\nNATO" in said and "DATES:\n1/2/2024" in said
+    said = both(spark, "Officials of NATO IBM UN met in Paris London Rome, Italy on 3rd of May 2020 or May 4, 2021.", fixed(summary.structured))
+    part = lambda name: said.split(f"{name}:\n")[1].split("\n")[0]
+    assert (part("PEOPLE"), part("ORGANIZATIONS")) == ("Paris London Rome", "NATO, IBM, UN")
+    assert (part("LOCATIONS"), part("DATES")) == ("Officials, Paris, London", "May 4, 2021, 3rd of May 2020")
+    assert "ORGANIZATIONS:\nAcme Steel Corp, A B Inc" in both(spark, "the Acme Steel Corp and A B Inc Bo Corporation", fixed(summary.structured))
+    assert both(spark, "xAnna Maria aNATO 1/2/20245 _Rome", fixed(summary.structured)) == "SUMMARY:\nxAnna Maria aNATO 1/2/20245 _Rome\n\nLOCATIONS:\nMaria"
     steps_ = [(n, lambda d, k=k: summary.insights(d, "text")[k][1]) for k, (n, _) in enumerate(summary.insights(SPARK, "text"))]
     assert both(spark, "A first. We must go. Nothing. The end.", *steps_) == ["We must go.", "A first.", "The end."]
 
