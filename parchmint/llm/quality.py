@@ -1,14 +1,18 @@
 """Quality classifier: nearest-neighbour voting among labelled latent-semantic vectors.
 
-A document's terms are its byte pairs, hashed to TERMS columns, and a few counts of what words do
-(repeat, shout, are bars or other symbols), all of its whole text. Term counts are dampened and
-weighted by rarity; a truncated singular value decomposition of the labelled sample's matrix
-gives LATENT dimensions. The sample, SAMPLE documents of each label at most, chosen by a hash of
-the id, bounds what is fitted on the driver and what is broadcast (2 * SAMPLE vectors).
+A document's terms, all of its whole text, are its byte pairs, the pairs of its words' shapes
+(lower, Title, UPPER, digits, ...), and at which lag up to LAGS a word comes again. Term counts are
+dampened, scaled to unit length (bytes and words apart) and weighted by rarity; a truncated singular value decomposition
+of the labelled sample's matrix gives LATENT dimensions. No count is compared with a threshold:
+all that a term says, it says through the latent vectors. The sample, SAMPLE documents of each
+label at most, chosen by a hash of the id, bounds what is fitted on the driver and what is
+broadcast (2 * SAMPLE vectors).
 
 Every document is multiplied with all labelled vectors in blocks; exact cosines of the
-NEIGHBOURS nearest, to the power SHARPEN, weigh their labels. Labels are weighed by how common
-they are among all learnable labels, so that an even sample gives honest scores.
+NEIGHBOURS nearest, to the power 4, weigh their labels. Cosines are rounded to DIGITS digits, so
+equal texts score alike in any batch, and all that tie with the last neighbour vote. Labels are
+weighed by how common they are among all learnable labels, so that an even sample gives honest
+scores.
 
 Nulls: a null text is an empty one; documents without any term score PRIOR. Labels that are null
 aren't learned from; an id with several labels counts as its least. Without labels of both kinds
@@ -18,64 +22,63 @@ every score is the share of label 1 (PRIOR if there are none).
 from __future__ import annotations
 
 from dataclasses import dataclass
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parchmint.llm.common import bytes_of, keeping, per_batch, scratch
 
-TERMS, LATENT = 4096, 48
-SAMPLE, NEIGHBOURS, SHARPEN = 800, 15, 4.0
+PAIRS, LATENT = 4096, 48
+SAMPLE, NEIGHBOURS, DIGITS = 800, 15, 6
 PRIOR = 0.5
 BLOCK = 512
-WORD_TERMS = 16
-WIDTH = TERMS + WORD_TERMS
+SHAPES, LAGS = 8, 4
+TERMS = PAIRS + SHAPES * SHAPES + LAGS
+#: Marks that may hang on a word, and bytes that count as lower-case letters: all beyond ASCII.
+MARKS = b".,;:!?\"'()"
+LETTERS = bytes(c if c < 128 else ord("a") for c in range(256))
+CACHE_ENTRIES = 200_000
 
 
-def word_terms(text: bytes) -> np.ndarray:
-    """Shares of what a text's words do, as WORD_TERMS non-negative numbers."""
-    words = text.split()
-    out = np.zeros(WORD_TERMS)
-    n = len(words)
-    if not n:
-        return out
-    joined = b" ".join(words)
-    letters = len(joined) - n + 1
-    repeats = sum(map(eq, words, words[1:])) / n
-    fresh = len(set(words)) / n
-    upper = joined.translate(None, bytes(range(0, 65)) + bytes(range(91, 256)))
-    symbols = joined.translate(None, b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 .,'\"-" + bytes(range(128, 256)))
-    digits = joined.translate(None, bytes(range(0, 48)) + bytes(range(58, 256)))
-    out[0] = repeats
-    out[1] = (1 - fresh) ** 2 * min(1.0, n / 50)
-    out[2] = len(upper) / letters
-    out[3] = len(symbols) / letters
-    out[4] = len(digits) / letters
-    out[5] = words.count(b"|") / n
-    out[6] = sum(map(eq, words, words[2:])) / n
-    out[7] = float(repeats > 0.2)
-    out[8] = float(len(upper) > 0.4 * letters)
-    out[9] = float(len(symbols) > 0.1 * letters)
-    return out
+class Words(dict):
+    """Shape and hash of words, kept while they are few enough: hash * SHAPES + shape."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHE_ENTRIES:
+            self.clear()
+        self[word] = value = (xxhash.xxh32_intdigest(word) * SHAPES) + shape(word)
+        return value
+
+
+def shape(word: bytes) -> int:
+    bare = word.strip(MARKS).translate(LETTERS)
+    if bare.isalpha():
+        return 0 if bare.islower() else 1 if bare.isupper() else 2 if bare.istitle() else 3
+    return 4 if not bare else 5 if bare.isdigit() else 6 if bare.isalnum() else 7
 
 
-def terms(texts: list[bytes]) -> np.ndarray:
-    """Dampened term counts, one row for each text; the whole text counts."""
-    out = np.zeros((len(texts), WIDTH), dtype=np.float32)
+def terms(texts: list[bytes], words: Words | None = None) -> np.ndarray:
+    """Dampened term counts, those of bytes and those of words of unit length each, one row for each text; the whole text counts."""
+    out = np.zeros((len(texts), TERMS), dtype=np.float32)
+    words = Words() if words is None else words
     for k, text in enumerate(texts):
-        b = np.frombuffer(text, dtype=np.uint8)
+        b = np.frombuffer(text, dtype=np.uint8).astype(np.uint32)
         if len(b) > 1:
-            pair = (b[:-1].astype(np.uint32) * 251 + b[1:] * 17) % TERMS
-            out[k, :TERMS] = np.log1p(np.bincount(pair, minlength=TERMS))
+            out[k, :PAIRS] = np.bincount((b[:-1] * 251 + b[1:] * 17) % PAIRS, minlength=PAIRS)
         elif len(b):
-            out[k, int(b[0]) * 251 % TERMS] = np.log(2)
-        norm = np.linalg.norm(out[k])
-        if norm:
-            out[k] /= norm
-            out[k, TERMS:] = word_terms(text)
+            out[k, int(b[0]) * 251 % PAIRS] = 1
+        split = text.split()
+        w = np.fromiter(map(words.__getitem__, split), dtype=np.int64, count=len(split))
+        kind = w % SHAPES
+        out[k, PAIRS : PAIRS + SHAPES * SHAPES] = np.bincount(kind[:-1] * SHAPES + kind[1:], minlength=SHAPES * SHAPES)
+        out[k, PAIRS + SHAPES * SHAPES :] = [np.count_nonzero(w[lag:] == w[:-lag]) for lag in range(1, LAGS + 1)]
+    np.log1p(out, out=out)
+    for view in (out[:, :PAIRS], out[:, PAIRS:]):
+        norm = np.linalg.norm(view, axis=1, keepdims=True)
+        np.divide(view, norm, out=view, where=norm > 0)
     return out
 
 
@@ -91,43 +94,42 @@ class Model:
     balance: float
 
     def latent(self, rows: np.ndarray) -> np.ndarray:
-        x = (rows * self.weights) @ self.basis
+        x = (rows * self.weights).astype(np.float64) @ self.basis
         norm = np.linalg.norm(x, axis=1, keepdims=True)
         return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
+    def score(self, texts: list[bytes], words: Words | None = None) -> np.ndarray:
         out = np.full(len(texts), self.share)
         if not len(self.vectors):
             return out
+        one = (self.labels == 1).astype(np.float64)
         for start in range(0, len(texts), BLOCK):
-            x = self.latent(terms(texts[start : start + BLOCK]))
-            near = x @ self.vectors.T
+            x = self.latent(terms(texts[start : start + BLOCK], words))
+            near = np.maximum((x @ self.vectors.T).round(DIGITS), 0)
             k = min(NEIGHBOURS, near.shape[1])
-            at = np.argpartition(-near, k - 1, axis=1)[:, :k]
-            weight = np.maximum(np.take_along_axis(near, at, 1), 0).astype(np.float64) ** SHARPEN
-            ones = (weight * (self.labels[at] == 1)).sum(1) * self.balance
-            zeros = (weight * (self.labels[at] == 0)).sum(1)
+            last = -np.partition(-near, k - 1, axis=1)[:, k - 1 : k]
+            weight = np.where(near >= last, (near * near) ** 2, 0)
+            ones = weight @ one * self.balance
+            zeros = weight @ (1 - one)
             known = ones + zeros > 0
-            out[start : start + len(x)][known] = ones[known] / (ones + zeros)[known]
+            out[start : start + len(x)][known] = (ones[known] / (ones + zeros)[known]).round(2 * DIGITS)
         return out
 
 
 def fitted(rows: np.ndarray, labels: np.ndarray, share: float) -> Model:
     """rows: the sample's terms; share: of label 1 among all labels that may be learned from."""
     if len(set(labels.tolist())) < 2:
-        empty = np.zeros((0, 1), dtype=np.float32)
-        return Model(np.ones(WIDTH, np.float32), empty, empty, labels, share, 1.0)
-    seen = (rows[:, :TERMS] > 0).sum(0)
-    weights = np.ones(WIDTH, dtype=np.float32)
-    weights[:TERMS] = np.log((1 + len(rows)) / (1 + seen)) + 1
+        empty = np.zeros((0, 1))
+        return Model(np.ones(TERMS, np.float32), empty, empty, labels, share, 1.0)
+    weights = (np.log((1 + len(rows)) / (1 + (rows > 0).sum(0))) + 1).astype(np.float32)
     x = rows * weights
     # Left singular vectors from the small Gram matrix; the sample bounds its side.
     values, left = np.linalg.eigh((x @ x.T).astype(np.float64))
     top = np.argsort(-values)[: min(LATENT, int((values > values.max() * 1e-6).sum()))]
-    basis = x.T @ (left[:, top] / np.sqrt(values[top])).astype(np.float32)
+    basis = (x.T @ (left[:, top] / np.sqrt(values[top])).astype(np.float32)).astype(np.float64)
     del x, left
     ones = (labels == 1).mean()
-    model = Model(weights, basis, np.zeros((0, 1), np.float32), labels, share, 1.0)
+    model = Model(weights, basis, np.zeros((0, 1)), labels, share, 1.0)
     model.vectors = model.latent(rows)
     model.balance = float(np.clip(share, 0.01, 0.99) / (1 - np.clip(share, 0.01, 0.99)) / (ones / (1 - ones)))
     return model
@@ -156,7 +158,7 @@ def learned(docs: DataFrame, labels: DataFrame, label: str = "quality", sample:
 
     found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(wanted, "doc_id").select("doc_id", "label", "text").mapInArrow(per_batch(step), "doc_id long, label int, terms binary")
     y: list[int] = []
-    x = np.zeros((2 * sample, WIDTH), dtype=np.float32)
+    x = np.zeros((2 * sample, TERMS), dtype=np.float32)
     for v in (0, 1):
         for r in found.where(F.col("label") == v).orderBy(key, "doc_id", "terms").limit(sample).toLocalIterator():
             x[len(y)] = np.frombuffer(r.terms, dtype="<f2")
@@ -171,9 +173,10 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in docs.columns if c not in ("score", "predicted")]
     rows = docs.select(*[docs[c] for c in names], docs["text"].cast("string").alias("_text"))
+    words = Words()
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        score = np.clip(shared.value.score(bytes_of(batch.column(batch.num_columns - 1))), 0.0, 1.0)
+        score = np.clip(shared.value.score(bytes_of(batch.column(batch.num_columns - 1)), words), 0.0, 1.0)
         return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema), "score double", "predicted int"])
