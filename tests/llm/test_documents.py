@@ -1,12 +1,16 @@
 """Operators over documents against brute force, with nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import hashlib
+import re
+import struct
+import time
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from parchmint.llm import chunk_bpe, line_dedup, mixing, ngram_join, order_minhash, quality, queries, rans, token_files, tokenizing
@@ -77,6 +81,19 @@ def test_line_dedup(docs, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+@pytest.mark.parametrize("ids", [lambda k: (-1) ** k * (9 * 10**18 - k), lambda k: 9 * 10**18 if k == 5 else k, lambda k: None if k % 2 else k, lambda k: k % 5])
+def test_line_dedup_of_any_ids(spark, ids):
+    rows = [(ids(k), "\n".join(f"this is line number {(k * j) % 17} of all" for j in range(6)) + f"\nan own line of text {k}") for k in range(120)]
+    low = lambda d: -(2**63) if d is None else d
+    held = defaultdict(set)
+    for d, t in rows:
+        for line in t.split("\n"):
+            held[line].add(low(d))
+    found = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    want = [(low(d), "\n".join(x for x in t.split("\n") if len(held[x]) < 3 or max(held[x]) == low(d))) for d, t in rows]
+    assert sorted((low(r.doc_id), r.kept_text or "") for r in found) == sorted(want)
+
+
 def test_runs_are_levelled(spark):
     runs = line_dedup.Runs(scratch(spark, "runs"), fan_out=2)
     batches = [[(1, 1, 9), (2, 2, 9)], [(1, 1, 8), (3, 3, 8)], [(1, 1, 7)], [(1, 1, 6), (2, 2, 6)], [(1, 1, 5), (3, 3, 5)]]
@@ -117,21 +134,78 @@ def test_ngram_join(spark, docs, empty):
     assert ngram_join.near_classes(empty).count() == 0 and ngram_join.keep_one(empty).count() == 0
 
 
-def test_ngram_join_of_many_near_copies(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK", 7)
-    rng = np.random.default_rng(3)
-    base = [f"t{i}" for i in range(150)]
-    rows = [(0, " ".join(base))]
-    for d in range(1, 60):
+def near_copies(rng, n, base, edits):
+    """n copies of base, with up to `edits` words replaced in each."""
+    out = []
+    for d in range(n):
         words = list(base)
-        for at in rng.choice(150, rng.integers(0, 6), replace=False):
+        for at in rng.choice(len(base), rng.integers(0, edits + 1), replace=False):
             words[at] = f"r{d}_{at}"
-        rows.append((d, " ".join(words)))
+        out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize("block", [5, 512])
+def test_ngram_join_of_many_near_copies(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    base = [f"t{i}" for i in range(150)]
+    rows = list(enumerate(near_copies(rng, 60, base, 5)))
     rows += [(100 + i, " ".join(f"u{i}_{j}" for j in range(40))) for i in range(10)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+    # Pages of one template that aren't near copies, some that are, and chains of ever more distant copies.
+    rows += [(200 + i, " ".join(base[:110] + [f"own{i}_{j}" for j in range(30)])) for i in range(30)]
+    rows += [(300 + i, " ".join(base[:110] + [f"own{i // 2}_{j}" for j in range(29)] + [f"x{i}"])) for i in range(20)]
+    chain = [f"c{i}" for i in range(300)]
+    rows += [(400 + i, " ".join(chain[4 * i : 4 * i + 100])) for i in range(40)]
+    rows += [(500 + i, " ".join(chain[:k])) for i, k in enumerate((3, 4, 5, 6, 7, 5, 4, 30, 31, 34, 36, 40))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert sorted((r.id, r.n, r.component) for r in ngram_join.near_classes(df).collect()) == classes(rows)
 
 
+def test_ngram_join_of_thousands(spark):
+    """One cluster of near copies and one of pages of a template, both of thousands."""
+    rng = np.random.default_rng(5)
+    base = [f"t{i}" for i in range(120)]
+    rows = list(enumerate(near_copies(rng, 2500, base, 4)))
+    rows += [(10_000 + i, " ".join(base[:60] + [f"own{i}_{j}" for j in range(12)])) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    found = {r.id: r.component for r in ngram_join.near_classes(df).collect()}
+    # By brute force, with sets as rows of a matrix.
+    sets = [shingles(t) for _, t in rows]
+    place = {}
+    for x in sets:
+        for k in x:
+            place.setdefault(k, len(place))
+    m = np.zeros((len(sets), len(place)), dtype=np.float32)
+    for r, x in zip(m, sets, strict=True):
+        r[[place[k] for k in x]] = 1
+    both, size = m @ m.T, m.sum(1)
+    link = 100 * both >= 80 * (size[:, None] + size[None, :] - both)
+    root = np.arange(len(sets))
+    while True:
+        new = np.array([root[r].min() for r in link])
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    assert found == {d: rows[r][0] for (d, _), r in zip(rows, root, strict=True)}
+
+
+def test_ngram_join_of_null_ids(spark):
+    """Copies under one null id cost what copies under their own ids cost."""
+    rng = np.random.default_rng(6)
+    texts = near_copies(rng, 600, [f"t{i}" for i in range(100)], 3)
+    took = []
+    for ids in (range(600), [None] * 600):
+        df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(4)
+        began = time.perf_counter()
+        found = ngram_join.near_classes(df).collect()
+        took.append(time.perf_counter() - began)
+        kept = ngram_join.keep_one(df).count()
+        assert len(found) == 600 and kept == len({k for _, _, k in classes(list(enumerate(texts)))})
+    assert took[1] < 1.5 * took[0] + 2
+
+
 def test_quality(spark, docs, empty):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     all_ = spark.read.parquet(f"{SF}/documents.parquet")
@@ -139,13 +213,84 @@ def test_quality(spark, docs, empty):
     found = quality.scored(docs, model)
     assert {0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in found.collect()} == {True}
     assert found.columns == [c for c in docs.columns if c != "score"] + ["score", "predicted"]
-    same = quality.scored(spark.createDataFrame([(1, "twice the same text"), (2, "twice the same text")], "doc_id long, text string"), model).collect()
-    assert same[0].score == same[1].score
+    # Equal texts score alike, whatever stands beside them in a batch.
+    rows = [(k, "twice the same text" if k in (1, 700, 1501) else f"text {k} " * (k % 40)) for k in range(1600)]
+    same = quality.scored(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), model).where("doc_id in (1, 700, 1501)").collect()
+    assert len({r.score for r in same}) == 1
     assert quality.scored(empty, model).count() == 0
     nothing = quality.learned(all_, labels.where("false"))
     assert {r.score for r in quality.scored(docs, nothing).collect()} == {0.5}
 
 
+def term_counts(text):
+    """Terms of a text, counted one by one."""
+    b = (text or "").encode()
+    pairs, words = Counter(), Counter()
+    for x, y in zip(b, b[1:]):
+        pairs[(x * 251 + y * 17) % 4096] += 1
+    if len(b) == 1:
+        pairs[b[0] * 251 % 4096] += 1
+
+    def kind(w):
+        bare = "".join(chr(c) if c < 128 else "a" for c in w.strip(b".,;:!?\"'()"))
+        if bare.isalpha():
+            return "lower" if bare == bare.lower() else "upper" if bare == bare.upper() else "title" if bare == bare.title() else "mixed"
+        return "marks" if not bare else "digits" if bare.isdigit() else "alnum" if bare.isalnum() else "other"
+
+    w = b.split()
+    for x, y in zip(w, w[1:]):
+        words[kind(x), kind(y)] += 1
+    for lag in (1, 2, 3, 4):
+        words[lag] += sum(x == y for x, y in zip(w, w[lag:]))
+    out = {}
+    for view in (pairs, words):
+        damp = {k: np.log1p(n) for k, n in view.items() if n}
+        norm = sum(x * x for x in damp.values()) ** 0.5
+        out |= {k: x / norm for k, x in damp.items()}
+    return out
+
+
+def brute_scores(texts, sample, labels, share):
+    """Votes among labelled texts by a plain singular value decomposition."""
+    known = [term_counts(x) for x in sample]
+    names = {k: i for i, k in enumerate(sorted({k for x in known for k in x}, key=str))}
+
+    def row(counts, kind=np.float32):
+        out = np.zeros(len(names))
+        for k, x in counts.items():
+            if k in names:
+                out[names[k]] = kind(x)
+        return out
+
+    x = np.array([row(c, np.float16) for c in known])
+    weights = np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1
+    _, s, right = np.linalg.svd(x * weights, full_matrices=False)
+    keep = (s**2 > s[0] ** 2 * 1e-6) & (np.arange(len(s)) < 48)
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    vectors, y = unit((x * weights) @ right[keep].T), np.array(labels)
+    odds = share / (1 - share) / (y.mean() / (1 - y.mean()))
+    out = []
+    for text in texts:
+        near = np.maximum(unit((row(term_counts(text)) * weights)[None] @ right[keep].T)[0] @ vectors.T, 0).round(6)
+        vote = np.where(near >= np.sort(near)[-15:][0], near**4, 0)
+        one, zero = vote[y == 1].sum() * odds, vote[y == 0].sum()
+        out.append(one / (one + zero) if one + zero else share)
+    return out
+
+
+def test_quality_by_brute_force(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1}
+    ids = [i for i in labels if i in docs]
+    assert len(set(labels.values())) == 2 and len(ids) < 800
+    want = brute_scores(list(docs.values()), [docs[i] for i in ids], [labels[i] for i in ids], sum(labels.values()) / len(labels))
+    found = {r.doc_id: r for r in queries.op3_quality_classifier(spark, SF).collect()}
+    assert len(found) == len(docs)
+    off = [abs(found[d].score - s) for d, s in zip(docs, want, strict=True)]
+    assert max(off) < 0.01 and np.mean(off) < 1e-4  # terms are single, or half in the sample
+    assert sum(found[d].predicted != (s >= 0.5) for d, s in zip(docs, want, strict=True)) <= len(docs) // 100
+
+
 def test_quality_held_out(spark):
     sf = SF.replace("0.001", "0.01")
     found = queries.op3_quality_classifier(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
@@ -157,8 +302,12 @@ def sizes(rows):
     return [(d, len((t or "").encode().split()), s) for d, t, _, s in rows]
 
 
-def test_mixing(docs, empty):
+@pytest.mark.parametrize("sources", ["broadcast", "joined"])
+def test_mixing(docs, empty, monkeypatch, sources):
+    monkeypatch.setattr(mixing, "BROADCAST", 100_000 if sources == "broadcast" else 1)
     found = by_id(mixing.mixed(docs))
+    digest = [(r["doc_id"], *(r[c] for c in mixing.RESULTS)) for r in found]
+    assert sorted(digest, key=str) == sorted((tuple(r) for r in mixing.shares(docs).drop("source").collect()), key=str)
     total = sum(n for _, n, _ in sizes(ROWS))
     per = defaultdict(int)
     for _, n, s in sizes(ROWS):
@@ -254,33 +403,67 @@ def test_chunk_joins_are_exact(letters):
         assert b"".join(chunk_bpe.chunks(text.encode())) == text.encode()
 
 
+def spark_hash(*values):
+    """XXH64 of a row's values as Spark has it: each hashed with the one before as its seed."""
+    seed = 42
+    for v in values:
+        if v is not None:
+            seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else struct.pack("<i" if isinstance(v, np.int32) else "<q", v), seed)
+    return seed - 2**64 if seed >= 2**63 else seed
+
+
 def signature(text):
-    """Order MinHash by itself: k-mers numbered by occurrence, least ones in text order; by names, not by hash."""
-    w = (text or "").split()
-    kmers = [tuple(w[i : i + 2]) for i in range(max(len(w) - 1, min(len(w), 1)))]
-    seen = defaultdict(int)
-    out = []
-    for k in kmers:
+    """Order MinHash by itself: numbered 2-mers of symbols, the 64 least by hash, neighbours in text order."""
+    w = [spark_hash(x) for x in re.findall(r"[^\x20\x09-\x0D]{1,12}", text or "")]
+    kmers = [spark_hash(*w[i : i + 2]) & (2**33 - 1) for i in range(max(len(w) - 1, min(len(w), 1)))]
+    seen, numbered = defaultdict(int), []
+    for at, k in enumerate(kmers):
         seen[k] += 1
-        out.append((k, seen[k]))
-    return out
+        numbered.append((spark_hash(k, np.int32(seen[k])) & (2**33 - 1), at))
+    least = sorted(numbered)[:64]
+    pairs = list(zip(least, least[1:])) if len(least) > 1 else [(x, None) for x in least]
+    return sorted({(spark_hash(a[0], None) if b is None else spark_hash(a[0], b[0]) if a[1] < b[1] else spark_hash(b[0], a[0])) & 0xFFFFFFFF for a, b in pairs})
 
 
-def test_order_minhash(spark, docs, empty):
-    found = by_id(order_minhash.fingerprints(docs))
-    order = sorted(((d, t or "") for d, t, *_ in ROWS), key=lambda x: -(2**63) if x[0] is None else x[0])
-    for k, r in enumerate(found):
-        text, after = order[k][1], order[(k + 1) % len(order)][1]
+def likeness(a, b):
+    return len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 1.0
+
+
+def check_fingerprints(found, rows):
+    """Every column of every row against the definition; rows: (doc_id, text)."""
+    low = lambda d: -(2**63) if d is None else d
+    order = sorted(rows, key=lambda r: (low(r[0]), spark_hash(r[1])))
+    want = []
+    for k, (d, text) in enumerate(order):
+        text, after = text or "", order[(k + 1) % len(order)][1] or ""
         half = len(text) // 2
         edited = text[: len(text) - half] + after[:half]
-        assert (r["doc_id"], r["n_chars"]) == (order[k][0], len(text)) and r["edited"] == edited
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-    of = {r["doc_id"]: r for r in found}
+        own, other, changed = signature(text), signature(after), signature(edited)
+        written = lambda s: "".join(f"{x:08x}" for x in s)
+        want.append((low(d), len(text), edited, written(own), written(changed), round(likeness(own, changed), 9), round(likeness(own, other), 9)))
+    got = [(low(r.doc_id), r.n_chars, r.edited, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in found.collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_order_minhash(spark, docs, empty):
+    check_fingerprints(order_minhash.fingerprints(docs), [r[:2] for r in ROWS])
+    of = {r["doc_id"]: r for r in by_id(order_minhash.fingerprints(docs))}
     assert of[4]["fingerprint"] == of[5]["fingerprint"] == of[6]["fingerprint"] == ""
     assert of[5]["near_next"] == 1.0 and of[7]["near_next"] > 0.8
     assert order_minhash.fingerprints(empty).count() == 0
 
 
+@pytest.mark.parametrize("ids", ["near both limits", "one far away", "mostly null", "repeated"])
+def test_order_minhash_in_ranges(spark, monkeypatch, ids):
+    for name, value in (("PER_RANGE", 7), ("SAMPLE", 64), ("HOT", 20), ("HOT_SHARE", 50)):
+        monkeypatch.setattr(order_minhash, name, value)
+    n = 300
+    kinds = {"near both limits": lambda k: (-1) ** k * (9 * 10**18 - k), "one far away": lambda k: 9 * 10**18 if k == 5 else k, "mostly null": lambda k: k if k % 3 == 0 else None, "repeated": lambda k: k % 4}
+    rows = [(kinds[ids](k), f"words of {k % 50} {k // 7} and more {k % 3}") for k in range(n)] + [(kinds[ids](5), "one text many times")] * 60
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    check_fingerprints(order_minhash.fingerprints(df), rows)
+
+
 def test_order_minhash_sees_order_and_occurrence(spark):
     words = [f"w{i}" for i in range(400)]
     rows = [(1, " ".join(words)), (2, " ".join(words[200:] + words[:200])), (3, " ".join(words[:-1] + ["z"])), (4, " ".join(np.random.default_rng(1).permutation(words))), (5, "a b " * 5), (6, "a b " * 9)]
@@ -289,4 +472,4 @@ def test_order_minhash_sees_order_and_occurrence(spark):
     like = lambda a, b: len(s[a] & s[b]) / len(s[a] | s[b])
     assert like(1, 3) > 0.8 > 0.6 > like(1, 2) > 0.15 > 0.05 > like(1, 4)
     assert s[5] != s[6]
-    assert len(signature("a b " * 5)) == 9
+    assert {r.doc_id: r.s for r in df.collect()} == {d: signature(x) for d, x in rows}

@@ -1,8 +1,10 @@
 """Links, neighbours, URLs, the pipeline and the folder's independence."""
 
+import hashlib
 import re
 import subprocess
 import sys
+import zlib
 from pathlib import Path
 
 import numpy as np
@@ -10,10 +12,10 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from parchmint.llm import ann, mixing, ngram_join, quality, queries, quotes, url_filter
+from parchmint.llm import ann, pipeline, queries, quotes, tokenizing, url_filter
 from parchmint.llm.components import components
 from tests.conftest import ROOT, SF
+from tests.llm.test_documents import brute_scores, classes
 
 TALK = [
     (1, 0, "user", "Hello there.\nHow are you?\n\nSecond paragraph."),
@@ -69,6 +71,30 @@ def test_quotes_against_sql(spark):
     assert sorted(map(tuple, digest.collect()), key=key) == sorted(want, key=key)
 
 
+def test_partial_quotes_and_reply_order(spark):
+    """Two paragraphs of three, one line of a paragraph; messages come after what they reply to; parts are bounded."""
+    rows = [
+        (1, 0, "one is here\ntwo is here\n\nthree is here\n\nfour is here"),
+        (1, 1, "> three is here\n>\n> four is here\nyes"),
+        (1, 2, "another thread"),
+        (1, 3, "> two is here\nno"),
+        (1, 4, "> another thread\nindeed"),
+        (1, 5, "> yes\nso"),
+        (1, 6, "> " + "long " * 50_000 + "\n" + "very " * 200_000),
+        (None, 1, None),
+    ]
+    df = spark.createDataFrame(rows + [rows[2]], "conv_id long, turn long, text string")
+    found = quotes.formatted(df)
+    at = {(r.conv_id, r.turn): r for r in found.collect()}
+    assert (at[1, 1].n_quotes, at[1, 1].n_linked, at[1, 1].reply_to) == (2, 2, 0)
+    assert (at[1, 3].reply_to, at[1, 4].reply_to, at[1, 5].reply_to, at[1, 5].depth) == (0, 2, 1, 2)
+    assert [t for (c, t), r in sorted(at.items(), key=lambda x: x[1].position) if c == 1] == [0, 1, 3, 5, 2, 4, 6]
+    assert (at[1, 2].position, at[1, 4].position, at[None, 1].position) == (4, 6, 0)
+    assert at[1, 6].n_quotes == 1 and len(at[1, 6].own_text) == 1_000_000 - 1
+    whole = {r.conv_id: [(m.turn, m.own_text) for m in r.messages] for r in quotes.conversations(found).collect()}
+    assert whole[1][:4] == [(0, rows[0][2]), (1, "yes"), (3, "no"), (5, "so")] and whole[None] == [(1, "")]
+
+
 def test_quotes_take_the_latest_earlier_turn(spark, monkeypatch):
     monkeypatch.setattr(quotes, "STRETCH", 4)
     rows = [(1, k, "same words" if k % 3 == 0 else "> same words\nme") for k in range(20)]
@@ -252,38 +278,99 @@ def test_components(spark):
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     seen = {}
-    for name, stage in corpus_pipeline.STAGES:
+    for name, stage in pipeline.STAGES:
         before, docs = docs, stage(spark, docs, SF).persist()
         seen[name] = docs.count()
-        if name != corpus_pipeline.STAGES[-1][0]:
-            assert docs.columns == list(corpus_pipeline.COLUMNS) == before.columns[:5]
+        if name != pipeline.STAGES[-1][0]:
+            assert docs.columns == list(pipeline.COLUMNS) == before.columns[:5]
     assert seen["quality_classifier"] >= seen["line_dedup"] >= seen["ngram_jaccard_join"] > 0
     assert seen["bpe_encoding"] == seen["mixing_sources"]
     assert sum(len(r.ids) == r.n_tokens for r in docs.collect()) == seen["bpe_encoding"]
 
 
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def brute_lines(rows):
+    """Of each line held by three documents or more only the largest id's stays."""
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
+    held = {}
+    for r in rows:
+        for x in {key(x) for x in (r.text or "").split("\n")}:
+            held.setdefault(x, set()).add(r.doc_id)
+    gone = lambda r, x: len(key(x)) >= 20 and len(held[key(x)]) >= 3 and max(held[key(x)]) != r.doc_id
+    return {r.doc_id: "\n".join(x for x in (r.text or "").split("\n") if not gone(r, x)) for r in rows}
+
+
+def brute_mix(rows):
+    """(doc_id, text) of the mix: sources 5, 2, 1, at most 3 epochs, documents by the MD5 of their ids."""
+    size = {r.doc_id: len(WORD.findall(r.text or "")) for r in rows}
+    sources = sorted({r.source for r in rows}, key=lambda s: (s is None, s))
+    of = {s: [r for r in rows if r.source == s] for s in sources}
+    total = {s: sum(size[r.doc_id] for r in of[s]) for s in sources}
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sources)}
+    target, left, open_ = {}, float(sum(total.values())), list(sources)
+    while open_:
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        over = [s for s in open_ if share[s] > 3 * total[s]]
+        if not over:
+            target |= share
+            break
+        for s in over:
+            target[s] = 3.0 * total[s]
+            left -= target[s]
+            open_.remove(s)
+    out = []
+    for s in sources:
+        budget = int(target[s] + 1e-6)
+        for r in of[s]:
+            if not size[r.doc_id]:
+                out.append((r.doc_id, r.text))
+        order = sorted((r for r in of[s] if size[r.doc_id]), key=lambda r: hashlib.md5(f"{r.doc_id}:0".encode()).hexdigest()[:15])
+        while budget > 0 and order:
+            for r in order:
+                n = min(size[r.doc_id], budget)
+                if n == size[r.doc_id]:
+                    out.append((r.doc_id, r.text))
+                elif n:
+                    out.append((r.doc_id, r.text[: list(WORD.finditer(r.text))[n - 1].end()]))
+                budget -= n
+    return out
+
+
 def test_pipeline_by_brute_force(spark):
-    """Each stage's decisions against the operator's definition, on the stage's own input."""
+    """Every stage against its definition, on the stage's own input; nothing of the code under test decides."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    model = quality.learned(docs, spark.read.parquet(f"{SF}/labels.parquet"))
-    rows = docs.collect()
-    scores = model.score([(r.text or "").encode() for r in rows])
-    first = corpus_pipeline.STAGES[0][1](spark, docs, SF)
-    assert {r.doc_id for r in first.collect()} == {r.doc_id for r, s in zip(rows, scores, strict=True) if s >= 0.5}
-    third = corpus_pipeline.STAGES[2][1](spark, docs, SF)
-    assert {r.doc_id for r in third.collect()} == {r.component if r.n else r.id for r in ngram_join.near_classes(docs).collect()}
-    fourth = corpus_pipeline.STAGES[3][1](spark, docs, SF)
-    taken = mixing.mixed(docs).agg(F.sum("taken")).first()[0]
-    assert fourth.agg(F.sum(mixing.n_words(F.col("text")))).first()[0] == taken
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1}
+    out, rows = [docs], [docs.collect()]
+    for _, stage in pipeline.STAGES:
+        out.append(stage(spark, out[-1], SF).persist())
+        rows.append(out[-1].collect())
+    text = {r.doc_id: r.text for r in rows[0]}
+    assert len(text) == len(rows[0])
+    ids = [i for i in labels if i in text]
+    scores = brute_scores(list(text.values()), [text[i] for i in ids], [labels[i] for i in ids], sum(labels.values()) / len(labels))
+    assert {r.doc_id: r.text for r in rows[1]} == {d: t for (d, t), s in zip(text.items(), scores, strict=True) if s >= 0.5}
+    assert {r.doc_id: r.text or "" for r in rows[2]} == brute_lines(rows[1])
+    assert any(r.text != text[r.doc_id] for r in rows[2]) and all(r.n_chars == len(r.text or "") for r in rows[2])
+    assert sorted(r.doc_id for r in rows[3]) == sorted({c if n else d for d, n, c in classes([(r.doc_id, r.text) for r in rows[2]])})
+    assert len(rows[3]) < len(rows[2])
+    assert sorted((r.doc_id, r.text or "") for r in rows[4]) == sorted((d, t or "") for d, t in brute_mix(rows[3]))
+    t = tokenizing.loaded(tokenizing.default_path())
+    assert sorted((r.doc_id, r.text or "") for r in rows[5]) == sorted((r.doc_id, r.text or "") for r in rows[4])
+    for r in rows[5]:
+        ids = t.encode(r.text or "", add_special_tokens=False).ids
+        assert (r.ids, r.n_tokens, r.decoded) == (ids, len(ids), t.decode(ids, skip_special_tokens=False))
 
 
 def test_stages_take_nulls_and_nothing(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long, ids string"
-    odd = spark.createDataFrame([(None, None, None, None, None, "x"), (1, "", None, None, 0, None), (2, "some words of prose here", "en", "s", 24, "y"), (2, "some words of prose here", "en", "s", 24, "y")], schema)
+    long = "many words of prose stand here. " * 60_000
+    odd = spark.createDataFrame([(None, None, None, None, None, "x"), (7, long, "en", "s", len(long), "z"), (1, "", None, None, 0, None), (2, "some words of prose here", "en", "s", 24, "y"), (2, "some words of prose here", "en", "s", 24, "y")], schema)
     for docs in (odd, odd.where("false")):
-        for _, stage in corpus_pipeline.STAGES:
+        for _, stage in pipeline.STAGES:
             docs = stage(spark, docs, SF)
-        assert docs.columns[:5] == list(corpus_pipeline.COLUMNS)
+        assert docs.columns[:5] == list(pipeline.COLUMNS)
         docs.collect()
 
 
