@@ -27,4 +27,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: twin(DUCK) for name, twin in TWINS.items()}
+    return {name: twin(DUCK) for name, twin in TWINS.items()} | row_queries.ORACLES

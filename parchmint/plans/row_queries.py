@@ -72,11 +72,26 @@ def w4_task_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "purchase", "complete").when(F.col("event_type") == "error", "error").otherwise("processing")
     events = source.select(F.concat(F.lit("task"), "user_id").alias("task_id"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("event"), (60 + F.col("user_id") % 5 * 100000).alias("timeout_s"))
     # Timers of processing time ask for empty batches for ever; a replay ends with its data.
-    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
-    writer = tasks.task_status(events).writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state")
-    query = writer.foreachBatch(lambda rows, batch: rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch}")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(f"{tasks.OUTPUT}, batch long").parquet(f"{folder}/rows").drop("batch")
+    key = "spark.sql.streaming.noDataMicroBatches.enabled"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        writer = tasks.task_status(events).writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state")
+        writer.foreachBatch(lambda rows, batch: rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch}")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(key, was)
+    return tasks.latest(spark.read.schema(f"{tasks.OUTPUT}, batch long").parquet(f"{folder}/rows"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p_variants, p_corrections, o4_recognise, e7_space_tables, w4_task_stream)}
+
+#: The replayed stream in SQL: what has ended first stays ended.
+ORACLES: dict[str, str] = {
+    "w4_task_stream": """
+SELECT task_id, coalesce(ended.event, 'processing') AS status, CASE WHEN ended IS NULL THEN 202 ELSE 200 END AS code, coalesce(ended.ts, last) - began AS elapsed
+FROM (
+  SELECT task_id, min(ts) AS began, max(ts) AS last, arg_min(struct_pack(event := event, ts := ts), ts) FILTER (WHERE event <> 'processing') AS ended
+  FROM (SELECT 'task' || user_id AS task_id, CAST(floor(epoch(ts)) AS bigint) AS ts, CASE WHEN event_type = 'purchase' THEN 'complete' WHEN event_type = 'error' THEN 'error' ELSE 'processing' END AS event FROM events)
+  GROUP BY task_id
+)""",
+}

@@ -53,6 +53,7 @@ def task_status(events: DataFrame) -> DataFrame:
     return events.groupBy("task_id").applyInPandasWithState(step, OUTPUT, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def activity(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """An extension, not parity: events by kind in tumbling windows of event time, with a watermark."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", window), "event").agg(F.count("*").alias("n")).select(F.col("window.start").alias("began"), "event", "n")
+def latest(changes: DataFrame) -> DataFrame:
+    """The last status of each task; changes: (task_id, status, code, elapsed, batch), by micro-batch."""
+    last = changes.groupBy("task_id").agg(F.max_by(F.struct("status", "code", "elapsed"), "batch").alias("last"))
+    return last.select("task_id", "last.status", "last.code", "last.elapsed")

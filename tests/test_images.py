@@ -76,11 +76,20 @@ def test_transitions():
     assert tasks.transition(state, (30, "processing", 60)) == state
 
 
-def test_activity_stream(spark, tmp_path):
-    rows = [(datetime(2024, 1, 1, h, m), "a") for h in range(3) for m in (0, 30)]
-    spark.createDataFrame(rows, "ts timestamp, event string").write.parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema("ts timestamp, event string").parquet(str(tmp_path / "in"))
-    query = tasks.activity(source).writeStream.outputMode("complete").format("memory").queryName("activity").start()
-    query.processAllAvailable()
-    query.stop()
-    assert [r.n for r in spark.table("activity").orderBy("began").collect()] == [2, 2, 2]
+def test_task_stream_in_several_batches(spark, tmp_path):
+    """Tasks whose events come in three micro-batches, late ones among them, have one row each."""
+    from datetime import datetime, timedelta
+
+    at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    batches = [[("a", at(10), "processing"), ("b", at(5), "processing")], [("a", at(40), "complete"), ("b", at(3), "error")], [("a", at(50), "error"), ("b", at(65), "processing"), ("c", at(1), "error")]]
+    for rows in batches:
+        spark.createDataFrame(rows, "task_id string, ts timestamp, event string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("task_id string, ts timestamp, event string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    writer = tasks.task_status(source.selectExpr("*", "3600L as timeout_s")).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "state"))
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    writer.foreachBatch(lambda rows, k: rows.write.mode("overwrite").parquet(str(tmp_path / f"rows/batch={k}"))).trigger(availableNow=True).start().awaitTermination()
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
+    changes = spark.read.schema(f"{tasks.OUTPUT}, batch long").parquet(str(tmp_path / "rows"))
+    assert changes.count() > 3
+    found = {r.task_id: (r.status, r.code, r.elapsed) for r in tasks.latest(changes).collect()}
+    assert found == {"a": ("complete", 200, 30), "b": ("processing", 202, 60), "c": ("error", 200, 0)}
