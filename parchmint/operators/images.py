@@ -58,12 +58,12 @@ def strategy(d: Dialect, image_type: str) -> str:
     return d.when(*((f"{image_type} = '{k}'", f"'{v}'") for k, v in STRATEGIES.items()), other="'standard'")
 
 
-def text_confidence(d: Dialect, h: str, v: str, area: str) -> str:
-    """From counts of horizontal and vertical edge pixels."""
-    f, r, e = d.num, d.div(h, f"({v} + 1)"), d.div(f"({h} + {v})", area)
+def text_confidence(d: Dialect, h: str, v: str, edges: str, area: str) -> str:
+    """From counts of horizontal, vertical and all edge pixels."""
+    f, r, e = d.num, d.div(h, f"({v} + 1)"), d.div(edges, area)
     ratio = d.when((f"{r} BETWEEN {f(1.0)} AND {f(3.0)}", f(100.0)), (f"({r} >= {f(0.5)} AND {r} < 1) OR ({r} > 3 AND {r} <= 5)", f(60.0)), other=f(30.0))
     density = d.when((f"{e} BETWEEN {f(0.02)} AND {f(0.15)}", f(100.0)), (f"({e} >= {f(0.01)} AND {e} < {f(0.02)}) OR ({e} > {f(0.15)} AND {e} <= {f(0.25)})", f(60.0)), other=f(30.0))
-    return d.when((f"{h} + {v} = 0", f(0.0)), other=f"least({f(100.0)}, {ratio} * {f(0.6)} + {density} * {f(0.4)})")
+    return d.when((f"{edges} = 0", f(0.0)), other=f"least({f(100.0)}, {ratio} * {f(0.6)} + {density} * {f(0.4)})")
 
 
 def table_likelihood(d: Dialect, h: str, v: str, area: str, crossings: str) -> str:

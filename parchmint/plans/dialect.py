@@ -11,6 +11,10 @@ import itertools
 import re
 from collections.abc import Callable, Iterable
 
+from pyspark.sql import SparkSession
+
+from parchmint.session import shared_folder
+
 #: Members of character classes: what a word is made of, white space, other than white space.
 WORD = r"\p{L}\p{N}_"
 WS = r"\s\x0B\x1C-\x1F\x85\p{Z}"
@@ -60,6 +64,10 @@ class Dialect:
     def matches_start(self, x: str, pattern: str) -> str:
         return self.like(x, rf"\A(?:{pattern})")
 
+    def stage(self, query: str) -> str:
+        """A query as the source of others. A long plan is made of several: written tables, so that costly columns are made once."""
+        return f"({query})"
+
     def nullif_blank(self, x: str) -> str:
         return f"nullif({self.strip(x)}, '')"
 
@@ -67,13 +75,20 @@ class Dialect:
 class Spark(Dialect):
     name = "spark"
 
-    def __init__(self, sf_dir: str = "", spread: int = 0) -> None:
-        self.sf_dir, self.spread = sf_dir, spread
+    def __init__(self, sf_dir: str = "", spread: int = 0, session: SparkSession | None = None) -> None:
+        self.sf_dir, self.spread, self.session = sf_dir, spread, session
 
     def table(self, name: str) -> str:
         path = f"parquet.`{self.sf_dir}/{name}.parquet`"
         return f"(SELECT /*+ REPARTITION({self.spread}) */ * FROM {path})" if self.spread else path
 
+    def stage(self, query: str) -> str:
+        if self.session is None:
+            return super().stage(query)
+        path = shared_folder(self.session, "stage")
+        self.session.sql(query).write.parquet(path)
+        return f"parquet.`{path}`"
+
     def lit(self, s: str) -> str:
         return "'" + s.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n").replace("\t", "\\t") + "'"
 

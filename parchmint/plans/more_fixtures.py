@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from parchmint.plans import fixtures
 from parchmint.plans.dialect import Dialect
 
 
@@ -51,3 +52,25 @@ def tasks(d: Dialect) -> str:
     seconds = "unix_timestamp(ts)" if d.name == "spark" else "CAST(floor(epoch(ts)) AS bigint)"
     kind = "CASE WHEN event_type = 'purchase' THEN 'complete' WHEN event_type = 'error' THEN 'error' ELSE 'processing' END"
     return f"(SELECT 'task' || {d.cast('user_id', d.text)} AS task_id, {seconds} AS ts, {kind} AS event, 60 + user_id % 5 * 100000 AS timeout_s FROM {d.table('events')})"
+
+
+def scans(d: Dialect) -> str:
+    """(image_id, filename, image_type, tl, fl, k, text): what receipts, cards, forms, tables and documents would be scanned from."""
+    kind = "CASE doc_id % 4 WHEN 0 THEN 'document' WHEN 1 THEN 'signage' WHEN 2 THEN 'natural' ELSE 'scientific' END"
+    of = lambda letter, image_type, tl, fl, source: f"SELECT '{letter}' || {d.cast('doc_id', d.text)} AS image_id, {image_type} AS image_type, {tl} AS tl, {fl} AS fl, doc_id AS k, text FROM {source}"
+    every = " UNION ALL ".join([of("r", "'receipt'", 10, 20, fixtures.receipts(d)), of("c", "'id_card'", 0, 50, fixtures.id_cards(d)), of("f", "'form'", 5, 80, fixtures.forms(d)), of("t", "'table'", 85, 10, fixtures.tables(d)), of("d", kind, 0, 0, d.table("documents"))])
+    return f"(SELECT *, image_id || '.png' AS filename FROM ({every}))"
+
+
+def scan_candidates(d: Dialect) -> str:
+    """(image_id, ord, engine, text, confidence, is_sign): three engines' readings; some scans have none."""
+    late = "image_type IN ('natural', 'signage')"
+    first = f"SELECT image_id, CASE WHEN {late} THEN 3 ELSE 1 END AS ord, 'tesseract_otsu_psm6' AS engine, CASE WHEN k % 5 = 0 THEN '' ELSE text END AS text, k % 101 AS c, image_type"
+    second = f"SELECT image_id, CASE WHEN {late} THEN 1 ELSE 3 END AS ord, 'easyocr_detail' AS engine, substr(text, 1, CAST({d.idiv(d.len('text'), '2')} AS int)) AS text, k * 7 % 101 AS c, image_type"
+    third = f"SELECT image_id, 2 AS ord, 'paddleocr_ocr' AS engine, text || {d.lit(chr(10) + 'read thrice')} AS text, k * 13 % 101 AS c, image_type"
+    every = " UNION ALL ".join(f"{x} FROM {scans(d)} WHERE k % 17 <> 0" for x in (first, second, third))
+    return f"(SELECT image_id, CAST(ord AS bigint) AS ord, engine, coalesce(text, '') AS text, CAST(c AS double) AS confidence, image_type = 'signage' AS is_sign FROM ({every}))"
+
+
+def scan_fallbacks(d: Dialect) -> str:
+    return f"(SELECT image_id, CAST(1 AS bigint) AS ord, 'scaled_2_psm11' AS engine, 'fallback ' || substr(coalesce(text, ''), 1, 40) AS text, CAST(k * 17 % 101 AS double) AS confidence FROM {scans(d)} WHERE k % 17 <> 0)"

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from parchmint.functions import layout, markdown, repair
-from parchmint.operators import arbitration, extract, images, runs, summary
+from parchmint.operators import arbitration, extract, images, process, runs, summary
 from parchmint.plans import fixtures
 from parchmint.plans import more_fixtures as made
 from parchmint.plans.dialect import WORD, Dialect, steps
@@ -136,7 +136,7 @@ def i4_merged_regions(d: Dialect) -> str:
 
 
 def i5_text_confidence(d: Dialect) -> str:
-    return f"SELECT image_id, l_partkey, l_suppkey, {images.text_confidence(d, 'n * 40', 'x_groups * 150', 'width * height')} AS confidence FROM {made.stats(d)}"
+    return f"SELECT image_id, l_partkey, l_suppkey, {images.text_confidence(d, 'n * 40', 'x_groups * 150', 'n * 40 + x_groups * 150 + l_partkey % 3 * 4000', 'width * height')} AS confidence FROM {made.stats(d)}"
 
 
 def i6_table_likelihood(d: Dialect) -> str:
@@ -280,4 +280,13 @@ def word_tokens(d: Dialect) -> str:
     return f"SELECT doc_id, {d.count('text', f'[{WORD}]+')} AS n_words FROM {_docs(d)}"
 
 
-QUERIES = {name: f for name, f in list(globals().items()) if callable(f) and (name[0] in "emoiaws" and name[1].isdigit() or name.startswith("p_"))}
+def process_texts(d: Dialect) -> str:
+    """Scans to results: arbitration, repair by type, layout, language, information, status."""
+    return process.results(d, made.scans(d), made.scan_candidates(d), made.scan_fallbacks(d))
+
+
+def process_reports(d: Dialect) -> str:
+    return process.reports(d, process_texts(d), "2024-01-31 00:00:00")
+
+
+QUERIES = {name: f for name, f in list(globals().items()) if callable(f) and (name[0] in "emoiaws" and name[1].isdigit() or name.startswith(("p_", "process_")))}

@@ -15,7 +15,7 @@ TWINS: dict[str, Callable[[Dialect], str]] = {"flagship": text_queries.flagship}
 
 
 def runs(twin: Callable[[Dialect], str]) -> Query:
-    return lambda spark, sf_dir: spark.sql(twin(Spark(sf_dir, int(spark.conf.get(SPREAD, "0")))))
+    return lambda spark, sf_dir: spark.sql(twin(Spark(sf_dir, int(spark.conf.get(SPREAD, "0")), spark)))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parchmint.functions import kernels
-from parchmint.operators import aligned, variants
+from parchmint.operators import aligned, measures, process, variants
 from parchmint.plans import fixtures, more_fixtures
 from parchmint.plans.dialect import Spark
 from parchmint.session import shared_folder
@@ -54,6 +54,28 @@ def p_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.image_corrections(images).select("image_id", "ord", F.col("variant").alias("step"), "height", "width", "brightness", "contrast", F.md5("data").alias("data_md5"))
 
 
+def drawn_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_id, filename, content): a drawn page for each nation, and one file that isn't an image."""
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("key"))
+    kind = F.element_at(F.array(*map(F.lit, ("natural", "document", "id_card", "receipt"))), (F.col("key") % 4 + 1).cast("int"))
+    pages = nations.select(F.concat(F.lit("page"), "key").alias("image_id"), F.concat(F.lit("page"), "key", F.lit(".pgm")).alias("filename"), F.udf(drawn, "binary")("key", kind).alias("content"))
+    return pages.unionByName(spark.createDataFrame([("broken", "broken.png", bytearray(b"no image"))], "image_id string, filename string, content binary"))
+
+
+def i_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics, likelihoods and types of drawn pages and of all pictures, from their pixels."""
+    small = pictures(spark, sf_dir).select(F.concat(F.lit("img"), "image_id").alias("image_id"), F.lit("x.pgm").alias("filename"), "content")
+    d = Spark(session=spark)
+    path = shared_folder(spark, "measures")
+    measures.measured(drawn_pages(spark, sf_dir).unionByName(small)).write.parquet(path)
+    return spark.sql(measures.typed(d, f"parquet.`{path}`"))
+
+
+def process_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drawn pages from files to results; without an engine their texts are empty, and the broken file is an error row."""
+    return process.process_images(drawn_pages(spark, sf_dir))
+
+
 def o4_recognise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of all engines; those that aren't installed say unavailable."""
     files = pictures(spark, sf_dir).select(F.concat(F.lit("img"), F.col("image_id"), F.lit(".pgm")).alias("path"), "content")
@@ -83,7 +105,7 @@ def w4_task_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks.latest(spark.read.schema(f"{tasks.OUTPUT}, batch long").parquet(f"{folder}/rows"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p_variants, p_corrections, o4_recognise, e7_space_tables, w4_task_stream)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p_variants, p_corrections, i_measures, process_images, o4_recognise, e7_space_tables, w4_task_stream)}
 
 #: The replayed stream in SQL: what has ended first stays ended.
 ORACLES: dict[str, str] = {

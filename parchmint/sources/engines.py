@@ -111,3 +111,29 @@ def pages_wanted(page: int, n_pages: int) -> int | None:
 def page_resolution(n_chars: int, area: float) -> int:
     """Dots an inch for a PDF page: fine for pages with text of usual size."""
     return 600 if n_chars > 100 and area <= 1e6 else 300
+
+
+GRID = "image_id string, ord long, engine string, method string, text string, confidence double"
+# The engine that reads every variant; the others read the first one.
+EVERY_VARIANT = "tesseract"
+
+
+def recognise_variants(images: DataFrame, made: Callable[[np.ndarray, str, str], Iterator[tuple[str, np.ndarray]]], language: str = "eng", engines: dict[str, Engine] | None = None, all_read: bool = False) -> DataFrame:
+    """images (image_id, image_type, strategy, sequence, content): a row for each variant and engine that reads it, in order.
+
+    all_read: every engine reads every variant. made(image, image_type, strategy) gives the named variants. sequence: names of engines, in order.
+    """
+    known = engines or ENGINES
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for name, kind, strategy, sequence, content in zip(pdf["image_id"], pdf["image_type"], pdf["strategy"], pdf["sequence"], pdf["content"], strict=True):
+                variants = list(made(decoded(bytes(content)), kind, strategy)) if len(sequence) else []
+                for place, engine in enumerate(sequence):
+                    for k, (variant, image) in enumerate(variants if all_read or engine == EVERY_VARIANT else variants[:1]):
+                        text, confidence, method = known[engine].process(image, language)
+                        rows.append((name, place * 1000 + k, engine, f"{variant}_{method}", text, float(confidence)))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in GRID.split(", ")])
+
+    return images.select("image_id", "image_type", "strategy", "sequence", "content").mapInPandas(run, GRID)

@@ -6,9 +6,11 @@ import numpy as np
 import pytest
 
 from parchmint.functions import kernels as k
-from parchmint.operators import variants
+from parchmint.operators import measures, process, variants
+from parchmint.plans import row_queries
 from parchmint.sources import engines, files
 from parchmint.streaming import tasks
+from tests.conftest import SF
 
 
 @pytest.fixture
@@ -93,3 +95,45 @@ def test_task_stream_in_several_batches(spark, tmp_path):
     assert changes.count() > 3
     found = {r.task_id: (r.status, r.code, r.elapsed) for r in tasks.latest(changes).collect()}
     assert found == {"a": ("complete", 200, 30), "b": ("processing", 202, 60), "c": ("error", 200, 0)}
+
+
+def test_counts_of_pixels():
+    """Counts by hand on drawn images: a frame, bars, a grid, colours."""
+    g = np.full((120, 160), 255, np.uint8)
+    g[20:60, 30:110] = 0
+    c = measures.counted(g)
+    assert (c["width"], c["height"], c["n"], c["rects"]) == (160, 120, 1, 1)
+    assert measures.text_boxes(g) == [(24, 14, 92, 52)]  # six pixels wider on each side
+    assert (c["most_aligned"], c["x_groups"], c["h_long"]) == (1, 1, 40 * 80)
+    assert abs(c["br"] - (255 - 255 * 3200 / 19200)) < 1e-9 and c["cv"] == 0.0 and c["glare"]
+    grid = np.full((120, 160), 255, np.uint8)
+    grid[::20] = grid[:, ::20] = 0
+    lines = measures.counted(grid)
+    assert lines["crossings"] > 0 and lines["h_lines"] > 0 and lines["v_lines"] > 0
+    assert measures.counted(np.full((5, 5), 9, np.uint8))["edge_pixels"] == 0
+    red, blue = np.zeros((4, 4, 3), np.uint8), np.zeros((4, 4, 3), np.uint8)
+    red[..., 0], blue[..., 2] = 200, 200
+    assert measures.colour_variance(red) == 0.0 and measures.colour_variance(np.concatenate([red, blue])) == 60.0
+
+
+def reader(text, confidence):
+    return lambda: lambda image, language: (text, confidence, f"{image.shape[0]}")
+
+
+def test_process_from_file_to_report(spark):
+    """Engines that read: one weak, one better; the broken file is an error; nobody reads where there is no engine."""
+    pages = row_queries.drawn_pages(spark, SF).where("image_id in ('page1', 'page2', 'broken')")
+    text = "Full  Name: Jane\nTotal 12O4\nthis is the text of the page and it is read well"
+    own = {"tesseract": engines.Engine("tesseract", (), reader("bad", 20.0)), "easyocr": engines.Engine("easyocr", (), reader(text, 90.0))}
+    found = {r.image_id: r for r in process.process_images(pages, own).collect()}
+    assert (found["broken"].status, found["broken"].message, found["broken"].text) == ("error", "Failed to read image file", None)
+    for name in ("page1", "page2"):
+        r = found[name]
+        assert r.engine == "merged_engines" if r.image_type == "signage" else r.engine.startswith("easyocr_gray_")
+        assert r.status == "success" and r.confidence == 90.0 and "1204" in r.text
+        assert r.strategy and r.structure and r.language in ("en", "latin")
+    weak = {"easyocr": engines.Engine("easyocr", (), lambda: lambda image, language: ("a longer text when scaled up", 70.0, "x") if image.shape[0] > 300 else ("oops", 10.0, "x"))}
+    for r in process.process_images(pages.where("image_id = 'page1'"), weak).collect():
+        assert (r.engine, r.text, r.confidence) == ("fallback_scaled_1.5_x", "a longer text when scaled up", 70.0)
+    nobody = {r.image_id: (r.status, r.engine, r.text) for r in process.process_images(pages, {}).collect()}
+    assert nobody == {"page1": ("poor_quality", "none", ""), "page2": ("poor_quality", "none", ""), "broken": ("error", None, None)}
