@@ -190,14 +190,12 @@ def met(groups: DataFrame, percent: int, path: str) -> DataFrame:
     # Dealt by shingle alone, so that a row moves once for both of its bands.
     lists = tokens.repartition("token").select("g", "classes", "n", "at", "token", F.explode(F.array(band, band + 1)).alias("band"))
     of_list = Window.partitionBy("token", "band")
-    lists = lists.withColumn("k", F.sum("classes").over(of_list)).withColumn("groups", F.count("*").over(of_list)).where("groups > 1").drop("groups")
-    lists = saved(lists, f"{path}/lists")
-    score = lists.groupBy("g").agg(F.sum(F.least("k", F.lit(1000))).alias("score"))
-    best = lists.join(score, "g").groupBy("token", "band").agg(F.max(F.struct("score", "g", "n", "at")).alias("hub"))
+    hub = F.max(F.struct(F.xxhash64("g").alias("hash"), "g", "n", "at")).over(of_list)
+    lists = lists.withColumn("k", F.sum("classes").over(of_list)).withColumn("groups", F.count("*").over(of_list)).withColumn("hub", hub).where("groups > 1")
     # Of the first shingle that two groups share, no more than what follows it can be shared.
     most = F.least(F.col("n") - F.col("at"), F.col("hub.n") - F.col("hub.at"))
     fits = (100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")) & ((100 + percent) * most >= percent * (F.col("n") + F.col("hub.n")))
-    return saved(lists.join(best, ["token", "band"]).select("token", "band", F.col("hub.g").alias("hub"), "g", "classes", "k", fits.alias("fits")), f"{path}/met")
+    return saved(lists.select("token", "band", F.col("hub.g").alias("hub"), "g", "classes", "k", fits.alias("fits")), f"{path}/met")
 
 
 def blocked(rows: DataFrame) -> DataFrame:
