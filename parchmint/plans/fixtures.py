@@ -35,6 +35,14 @@ def id_cards(d: Dialect) -> str:
     return f"(SELECT c_custkey AS doc_id, {text} AS text FROM {d.table('customer')} JOIN {d.table('nation')} ON c_nationkey = n_nationkey)"
 
 
+def national_cards(d: Dialect) -> str:
+    """Identity cards of one country: some labels with a colon, some without, some left out."""
+    nl = d.lit("\n")
+    some = lambda k, x: f"CASE WHEN c_custkey % {k} = 0 THEN '' ELSE {x} || {nl} END"
+    text = f"'NIK : 32' || lpad({text_of(d, 'c_custkey')}, 14, '0') || {nl} || {some(5, chr(39) + 'Nama  ' + chr(39) + ' || c_name')} || 'Tempat/Tgl Lahir: ' || upper(n_name) || ', 01-02-1990' || {nl} || 'Jenis Kelamin: ' || CASE WHEN c_custkey % 2 = 0 THEN 'PEREMPUAN' ELSE 'LAKI-LAKI' END || {nl} || {some(3, chr(39) + 'Alamat JL ' + chr(39) + ' || c_mktsegment')} || 'Agama: none' || {nl} || 'Status Perkawinan KAWIN' || {nl} || 'Pekerjaan: ' || lower(c_mktsegment)"
+    return f"(SELECT c_custkey AS doc_id, {text} AS text FROM {d.table('customer')} JOIN {d.table('nation')} ON c_nationkey = n_nationkey)"
+
+
 def forms(d: Dialect) -> str:
     nl = d.lit("\n")
     text = f"'Full  Name: ' || s_name || {nl} || 'company ' || s_name || ' Ltd' || {nl} || 'Phone:  555-' || lpad({text_of(d, 's_suppkey')}, 4, '0') || {nl} || 'e-mail: s' || {text_of(d, 's_suppkey')} || '@example.com' || {nl} || 'Account balance: ' || {money(d, 'abs(s_acctbal)')} || {nl} || '[x] active [ ] closed' || {nl} || 'Date   12/05/2024' || {nl} || 'Notes   none so far'"

@@ -86,6 +86,12 @@ def o2_paragraphs(d: Dialect) -> str:
     return arbitration.paragraphs(d, made.words(d))
 
 
+def l11_placed(d: Dialect) -> str:
+    """Paragraphs that have places, from top to bottom, a blank line between."""
+    found = f"(SELECT image_id, block_num * 10 + par_num AS o, y1, text FROM ({arbitration.paragraphs(d, made.words(d))}))"
+    return f"SELECT image_id, {d.join(d.collect('text', 'y1, o'), chr(10) * 2)} AS formatted FROM {found} GROUP BY image_id"
+
+
 def o3_confidence(d: Dialect) -> str:
     return arbitration.mean_confidence(d, made.words(d))
 
@@ -289,4 +295,4 @@ def process_reports(d: Dialect) -> str:
     return process.reports(d, process_texts(d), "2024-01-31 00:00:00")
 
 
-QUERIES = {name: f for name, f in list(globals().items()) if callable(f) and (name[0] in "emoiaws" and name[1].isdigit() or name.startswith(("p_", "process_")))}
+QUERIES = {name: f for name, f in list(globals().items()) if callable(f) and (name[0] in "elmoiaws" and name[1].isdigit() or name.startswith(("p_", "process_")))}

@@ -82,9 +82,27 @@ def o4_recognise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engines.recognise(files, list(engines.ENGINES))
 
 
+def spaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(f"SELECT * FROM {fixtures.tables(Spark(sf_dir))}").withColumn("text", F.regexp_replace("text", r" \| ", "     "))
+
+
 def e7_space_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.regexp_replace("text", r" \| ", "     ")
-    return aligned.space_tables(spark.sql(f"SELECT * FROM {fixtures.tables(Spark(sf_dir))}").withColumn("text", text))
+    return aligned.space_tables(spaced(spark, sf_dir))
+
+
+def e5_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of piped, tabbed and space-aligned tables, each by its own arm."""
+    d = Spark(sf_dir)
+    piped, tabbed = (spark.sql(f"SELECT doc_id + {k} AS doc_id, text FROM {fixtures.tables(d, p)}") for k, p in ((1000, " | "), (2000, "\t")))
+    return aligned.tables(spaced(spark, sf_dir).unionByName(piped).unionByName(tabbed))
+
+
+def l6_space_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned.rewritten(spaced(spark, sf_dir), aligned.organized_table, "organized")
+
+
+def l14_space_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned.rewritten(spaced(spark, sf_dir), aligned.formatted_table, "formatted")
 
 
 def w4_task_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +123,7 @@ def w4_task_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks.latest(spark.read.schema(f"{tasks.OUTPUT}, batch long").parquet(f"{folder}/rows"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p_variants, p_corrections, i_measures, process_images, o4_recognise, e7_space_tables, w4_task_stream)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p_variants, p_corrections, i_measures, process_images, o4_recognise, e5_tables, e7_space_tables, l6_space_tables, l14_space_tables, w4_task_stream)}
 
 #: The replayed stream in SQL: what has ended first stays ended.
 ORACLES: dict[str, str] = {

@@ -259,7 +259,8 @@ def e8_generic(d: Dialect) -> str:
 
 
 def e11_ktp(d: Dialect) -> str:
-    return _fields(fixtures.id_cards(d), {k: f"coalesce({extract.found(d, 'text', p)}, {d.strip('text')})" for k, p in extract.KTP.items()})
+    """Eight fields; a card without a field's label gives its whole text."""
+    return _fields(fixtures.national_cards(d), {k: f"coalesce({extract.found(d, 'text', p)}, {d.strip('text')})" for k, p in extract.KTP.items()})
 
 
 def l1_organized(d: Dialect) -> str:

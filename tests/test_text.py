@@ -170,3 +170,19 @@ def test_aligned_tables():
     assert aligned.table(text) == (["name", "qty"], [{"name": "milk", "qty": "2"}, {"name": "rye", "qty": "10"}])
     assert aligned.table("") == ([], [])
     assert aligned.with_pipes("aa        bb\ncc        dd\nee        ff").count("|") > 3 and aligned.with_pipes("a\nb") == "a\nb"
+    spaced_ = "name   qty   price\nmilk   two   3.50\n\nryes   ten   4"
+    assert aligned.organized_table(spaced_) == "| name | qty | price |\n| --- | --- | --- |\n| milk | two | 3.50 |\n\n| ryes | ten | 4 |"
+    # A bound is where the first gap of its column begins, so it may cut a longer word.
+    assert aligned.organized_table("name  qty\nrye   two\nx") == "| nam | e  qty |\n| --- | --- |\n| rye | two |\n| x |"
+    assert aligned.organized_table(" a  b \nc") == "a  b\nc"
+    assert aligned.formatted_table("Prices\n" + spaced_) == "name | qty | price\n----|---|-----\nmilk | two | 3.50\nryes | ten | 4"
+    assert aligned.formatted_table("nothing here") == "nothing here"
+    assert aligned.any_table("a|b\n---\n1|2")[1] == aligned.any_table("a\tb\n1\t2")[1] == aligned.any_table("a    b\n1    2")[1] == [{"a": "1", "b": "2"}]
+
+
+def test_national_cards(spark):
+    field = lambda t, k: both(spark, t, ("out", lambda d: f"coalesce({extract.found(d, 'text', extract.KTP[k])}, {d.strip('text')})"))
+    card = "NIK : 3201 2345\nNama\tBUDI S\nTempat/Tgl Lahir: BOGOR, 1-2-90\nJenis Kelamin: PRIA\nStatus  Perkawinan KAWIN\nAgama :X"
+    assert (field(card, "nik"), field(card, "name"), field(card, "place_dob")) == ("3201 2345", "BUDI S", "BOGOR, 1-2-90")
+    assert (field(card, "gender"), field(card, "marital_status"), field(card, "religion")) == ("Kelamin: PRIA", "KAWIN", "X")
+    assert field(card, "address") == card
