@@ -10,6 +10,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from parchmint.sources import adapters
+
 Recognise = Callable[[np.ndarray, str], tuple[str, float, str]]
 CANDIDATES = "path string, ord long, engine string, method string, text string, confidence double, is_sign boolean"
 
@@ -35,11 +37,11 @@ class Engine:
         return self._loaded(image, language)
 
 
-#: Engines by name; load is set where an installation has them.
+#: Engines by name; each is available where its module is installed.
 ENGINES = {
-    "tesseract": Engine("tesseract", ("pytesseract",)),
-    "easyocr": Engine("easyocr", ("easyocr",)),
-    "paddleocr": Engine("paddleocr", ("paddleocr",)),
+    "tesseract": Engine("tesseract", ("pytesseract",), adapters.tesseract),
+    "easyocr": Engine("easyocr", ("easyocr",), adapters.easyocr),
+    "paddleocr": Engine("paddleocr", ("paddleocr",), adapters.paddleocr),
 }
 
 

@@ -137,3 +137,36 @@ def test_process_from_file_to_report(spark):
         assert (r.engine, r.text, r.confidence) == ("fallback_scaled_1.5_x", "a longer text when scaled up", 70.0)
     nobody = {r.image_id: (r.status, r.engine, r.text) for r in process.process_images(pages, {}).collect()}
     assert nobody == {"page1": ("poor_quality", "none", ""), "page2": ("poor_quality", "none", ""), "broken": ("error", None, None)}
+
+
+def test_engine_adapters(monkeypatch):
+    """The adapters against stand-ins of the modules, which aren't installed here."""
+    import importlib.machinery
+    import types
+
+    def module(name, **members):
+        m = types.ModuleType(name)
+        m.__spec__ = importlib.machinery.ModuleSpec(name, None)
+        for k, v in members.items():
+            setattr(m, k, v)
+        monkeypatch.setitem(__import__("sys").modules, name, m)
+
+    asked = []
+
+    def data(image, lang, config, output_type):
+        asked.append((lang, config, output_type))
+        conf = [90, 96, -1, 90] if config.endswith("3") else [50, 40, -1, 60]
+        return {"block_num": [1, 1, 1, 2], "par_num": [1, 1, 1, 1], "line_num": [1, 2, 2, 1], "text": ["first", "second", " ", "a paragraph of its own"], "conf": conf}
+
+    module("pytesseract", image_to_data=data, Output=types.SimpleNamespace(DICT="dict"))
+    box = lambda x, y: [[x, y], [x + 5, y], [x + 5, y + 5], [x, y + 5]]
+    module("easyocr", Reader=lambda codes: types.SimpleNamespace(readtext=lambda image: [(box(50, 3), "right", 0.5), (box(0, 0), "left", 0.7), (box(0, 40), "+".join(codes), 0.9)]))
+    module("paddleocr", PaddleOCR=lambda use_angle_cls, lang: types.SimpleNamespace(ocr=lambda image, cls: [None, [[box(0, 0), ("said", 0.25)]]]))
+    image = np.zeros((4, 4), np.uint8)
+    fresh = {n: engines.Engine(n, e.needs, e.load) for n, e in engines.ENGINES.items()}
+    assert all(e.available for e in fresh.values()) and engines.available() == list(engines.ENGINES)
+    assert fresh["tesseract"].process(image, "ind") == ("first\nsecond\n\na paragraph of its own", 92.0, "psm3")
+    assert [c for _, c, _ in asked] == ["--oem 1 --psm 6", "--oem 1 --psm 11", "--oem 1 --psm 3"]
+    text, confidence, method = fresh["easyocr"].process(image, "eng+ind")
+    assert (text, round(confidence, 6), method) == ("left right\nen+id", 70.0, "detail")
+    assert fresh["paddleocr"].process(image, "eng") == ("said", 25.0, "ocr")
