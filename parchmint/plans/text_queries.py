@@ -264,8 +264,12 @@ def e11_ktp(d: Dialect) -> str:
 
 
 def l1_organized(d: Dialect) -> str:
-    typed = f"(SELECT doc_id, text, CASE doc_id % 4 WHEN 0 THEN 'document' WHEN 1 THEN 'form' WHEN 2 THEN 'table' ELSE 'mixed' END AS image_type FROM {d.table('documents')})"
-    return f"SELECT doc_id, {layout.organized(d, 'lines_', 'image_type')} AS organized FROM {lined(d, typed)}"
+    kind = "CASE doc_id % 4 WHEN 0 THEN 'document' WHEN 1 THEN 'form' WHEN 2 THEN 'table' ELSE 'mixed' END"
+    typed = f"(SELECT doc_id, text, {kind} AS image_type FROM {d.table('documents')} UNION ALL SELECT doc_id, text, 'receipt' AS image_type FROM {fixtures.receipts(d)} UNION ALL SELECT doc_id, text, 'id_card' AS image_type FROM {fixtures.id_cards(d)})"
+    only = lambda of: d.when((f"image_type = '{of}'", "lines_"))
+    rows = steps(lined(d, typed), ("slip_lines_", only("receipt")), *layout.receipt_sections(d, "slip_lines_"), ("card_lines_", only("id_card")), ("entries_", layout.id_card_entries(d, "card_lines_")))
+    out = d.when(("image_type = 'receipt'", "organized"), ("image_type = 'id_card'", layout.id_card(d, "entries_")), other=layout.organized(d, "lines_", "image_type"))
+    return f"SELECT doc_id, image_type, {out} AS organized_text FROM {rows}"
 
 
 def e1_structured(d: Dialect) -> str:

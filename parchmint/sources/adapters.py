@@ -84,3 +84,22 @@ def paddleocr() -> Recognise:
         return text, confidence, "ocr" if text else "no_text"
 
     return read
+
+
+def pdf_page(content: bytes, page: int) -> tuple[int, bytes | None]:
+    """How many pages a PDF has, and one of them (from 1) as a grey PGM file, at the resolution its text asks for; None where it has no such page."""
+    import fitz
+
+    with fitz.open(stream=content, filetype="pdf") as document:
+        n = len(document)
+        if not 1 <= page <= n:
+            return n, None
+        sheet = document[page - 1]
+        dpi = page_resolution(len(sheet.get_text()), sheet.rect.width * sheet.rect.height)
+        drawn = sheet.get_pixmap(dpi=dpi, colorspace=fitz.csGRAY)
+        return n, b"P5\n%d %d\n255\n" % (drawn.width, drawn.height) + bytes(drawn.samples)
+
+
+def page_resolution(n_chars: int, area: float) -> int:
+    """Dots an inch for a PDF page: fine for pages with text of usual size."""
+    return 600 if n_chars > 100 and area <= 1e6 else 300

@@ -105,14 +105,27 @@ def recognise(files: DataFrame, sequence: list[str], language: str = "eng", engi
     return files.select("path", "content").mapInPandas(run, CANDIDATES)
 
 
-def pages_wanted(page: int, n_pages: int) -> int | None:
-    """A page of a PDF that exists, or None."""
-    return page if 1 <= page <= n_pages else None
+PAGES = "path string, page int, n_pages int, content binary, message string"
 
 
-def page_resolution(n_chars: int, area: float) -> int:
-    """Dots an inch for a PDF page: fine for pages with text of usual size."""
-    return 600 if n_chars > 100 and area <= 1e6 else 300
+def pdf_pages(files: DataFrame, page: int = 1, read: Callable[[bytes, int], tuple[int, bytes | None]] = adapters.pdf_page) -> DataFrame:
+    """One page of each PDF file (path, content) as an image file; content is null, with a message, where there is none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                try:
+                    n, image = read(bytes(content), page)
+                    rows.append((path, page, n, image, None if image is not None else f"no page {page} of {n}"))
+                except ImportError:
+                    rows.append((path, page, None, None, "no reader of PDF files is installed"))
+                except Exception as e:  # a damaged file is a row of its own
+                    rows.append((path, page, None, None, f"unreadable: {type(e).__name__}"))
+            out = pd.DataFrame(rows, columns=[c.split()[0] for c in PAGES.split(", ")])
+            yield out.astype({"n_pages": "Int32"})
+
+    return files.select("path", "content").mapInPandas(run, PAGES)
 
 
 GRID = "image_id string, ord long, engine string, method string, text string, confidence double"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,15 +64,21 @@ def write_results(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
+TITLE = "Document recognition API"
+ENDPOINTS = (
+    ("/api/", "GET", "catalogue"),
+    ("/api/process", "POST", "read_files, pdf_pages, process_images, process_reports"),
+    ("/api/task_status/<id>", "GET", "w5_status"),
+    ("/api/markdown", "GET", "list_markdown"),
+    ("/api/markdown/<filename>", "GET", "read_markdown"),
+    ("/api/stats", "GET", "s11_stats"),
+    ("/api/docs", "GET", "catalogue"),
+    ("/health", "GET", "catalogue"),
+)
+
+
 def catalogue(spark: SparkSession) -> DataFrame:
-    """What the service offers, as rows: endpoint, method and what stands for it here."""
-    rows = [
-        ("/api/process", "POST", "read_files + recognise + plans"),
-        ("/api/task_status/<id>", "GET", "w5_status"),
-        ("/api/markdown", "GET", "list_markdown"),
-        ("/api/markdown/<filename>", "GET", "read_markdown"),
-        ("/api/stats", "GET", "s11_stats"),
-        ("/api/docs", "GET", "catalogue"),
-        ("/health", "GET", "catalogue"),
-    ]
-    return spark.createDataFrame(rows, "endpoint string, method string, query string")
+    """What the service offers, as rows: endpoint, method, what stands for it here, and what the index and the documents say."""
+    listed = json.dumps({"name": TITLE, "endpoints": [{"path": path, "method": method} for path, method, _ in ENDPOINTS]})
+    said = {"/api/": json.dumps({"name": TITLE}), "/api/docs": listed, "/health": json.dumps({"status": "healthy"})}
+    return spark.createDataFrame([(path, method, query, said.get(path)) for path, method, query in ENDPOINTS], "endpoint string, method string, query string, says string")

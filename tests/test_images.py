@@ -8,7 +8,7 @@ import pytest
 from parchmint.functions import kernels as k
 from parchmint.operators import measures, process, variants
 from parchmint.plans import row_queries
-from parchmint.sources import engines, files
+from parchmint.sources import adapters, engines, files
 from parchmint.streaming import tasks
 from tests.conftest import SF
 
@@ -52,7 +52,19 @@ def test_engines(spark, tmp_path):
     df = spark.createDataFrame([("a", content), ("b", b"junk")], "path string, content binary")
     found = {(r.path, r.engine): (r.text, r.confidence, r.method) for r in engines.recognise(df, ["echo", "paddleocr"], engines=own).collect()}
     assert found == {("a", "echo"): ("(2, 3) eng", 77.0, "shape"), ("a", "paddleocr"): ("", 0.0, "unavailable"), ("b", "none"): ("", 0.0, "undecoded")}
-    assert engines.page_resolution(200, 5e5) == 600 and engines.page_resolution(50, 5e5) == 300 and engines.pages_wanted(3, 2) is None
+    assert adapters.page_resolution(200, 5e5) == 600 and adapters.page_resolution(50, 5e5) == 300 and adapters.page_resolution(200, 2e6) == 300
+    pdfs = spark.createDataFrame([("a", b"two pages"), ("b", b"damaged")], "path string, content binary")
+
+    def reader(content, page):
+        if content == b"damaged":
+            raise ValueError(content)
+        return 2, b"P5\n1 1\n255\n\x07" if page <= 2 else None
+
+    got = {r.path: r for r in engines.pdf_pages(pdfs, 2, reader).collect()}
+    assert engines.decoded(bytes(got["a"].content)).tolist() == [[7]] and got["a"].n_pages == 2
+    assert got["b"].content is None and got["b"].message == "unreadable: ValueError"
+    assert {r.message for r in engines.pdf_pages(pdfs.where("path = 'a'"), 3, reader).collect()} == {"no page 3 of 2"}
+    assert {r.message for r in engines.pdf_pages(pdfs).collect()} == {"no reader of PDF files is installed"}
 
 
 def test_files(spark, tmp_path):
@@ -67,7 +79,8 @@ def test_files(spark, tmp_path):
     assert {r.filename for r in files.list_markdown(spark, out).collect()} == {"one.md", "two.md"}
     assert [r.value for r in files.read_markdown(spark, out, "one.md").collect()] == ["# One", "text"]
     assert files.read_markdown(spark, out, "none.md").count() == 0
-    assert files.catalogue(spark).count() == 7
+    said = {r.endpoint: r.says for r in files.catalogue(spark).collect()}
+    assert files.TITLE in said["/api/"] and "endpoints" in said["/api/docs"] and all(path in said["/api/docs"] for path in said)
 
 
 def test_transitions():
