@@ -392,6 +392,27 @@ def test_chunk_reuse(docs, empty):
     assert chunk_bpe.encode_decode(empty).count() == 0
 
 
+def test_shared_chunks(spark, monkeypatch):
+    """Passages that many documents share, equal rows under one id, more shared chunks than are broadcast."""
+    rng = np.random.default_rng(8)
+    passages = [" ".join(f"word{i}x{j}" for j in range(400)) for i in range(6)]
+    rows = [(k if k % 4 else None, " ".join([f"own {k}", *rng.choice(passages, 3), "é" * (k % 5)])) for k in range(80)] + [(None, passages[0])] * 50 + [(3, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    t = tokenizing.loaded(tokenizing.default_path())
+    want = sorted((str(d), t.encode(x or "", add_special_tokens=False).ids) for d, x in rows)
+    held = defaultdict(set)
+    for k, (_, x) in enumerate(rows):
+        for c in chunk_bpe.chunks((x or "").encode()):
+            held[chunk_bpe.digest(c)].add(k)
+    several = {h for h, ks in held.items() if len(ks) > 1}
+    found = chunk_bpe.shared_chunks(df, tokenizing.default_path())
+    assert set(found) == several and len(several) > 5
+    assert len(chunk_bpe.shared_chunks(df, tokenizing.default_path(), 5)) == 5
+    for most in (5, 2048):
+        monkeypatch.setattr(chunk_bpe, "shared_chunks", lambda docs, path, n=most: dict(list(found.items())[:n]))
+        assert sorted((str(r.doc_id), r.ids) for r in chunk_bpe.encode_decode(df).collect()) == want
+
+
 @pytest.mark.parametrize("letters", ["ab", "aé. '", "x<|endoftext|>1", "日本語 ́", "a b c\x85\x1c", "İSs'S", "a,B!? É"])
 def test_chunk_joins_are_exact(letters):
     rng = np.random.default_rng(len(letters))
