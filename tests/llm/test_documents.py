@@ -378,6 +378,23 @@ def test_token_files(spark, docs, empty, monkeypatch):
     assert token_files.digests(spark, nothing).count() == 0
 
 
+def test_ids_of_any_kind(spark):
+    """op2 and op7 with ids near both limits, one far away, null and repeated."""
+    big = 9 * 10**18
+    rows = [(i, f"some words of text number {k % 7} that go on for a while") for k, i in enumerate([big, -big, 1, 2, None, None, big - 1, 1, 1, -big + 1, 2**63 - 1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    low = [(-(2**63) if d is None else d, t) for d, t in rows]
+    assert sorted((r.id, r.n, r.component) for r in ngram_join.near_classes(df).collect()) == classes(low)
+    folder = scratch(spark, "files")
+    token_files.write(df, folder)
+    found = sorted(token_files.digests(spark, folder).collect(), key=lambda r: r.start)
+    assert [r.id for r in found] == sorted(d for d, _ in low)
+    packed = {d: set() for d, _ in low}
+    for (d, _), ids in zip(low, ids_of(rows), strict=True):
+        packed[d].add(zlib.crc32(np.array([*ids, 1], dtype="<u4").tobytes()))
+    assert all(r.ids_crc32 in packed[r.id] for r in found) and found[-1].start + found[-1].n_tokens == sum(len(x) + 1 for x in ids_of(rows))
+
+
 def test_damaged_block_is_noticed(spark, docs):
     table = rans.scaled(np.array([1, 2]), np.array([5, 5]))
     block = rans.encode(np.array([1, 2, 1, 1]), table) | {"part": 0, "block": 0}
