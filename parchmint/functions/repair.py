@@ -132,8 +132,11 @@ def with_dashes(d: Dialect, rows: str) -> str:
 
 
 def indonesian_words(d: Dialect, x: str) -> str:
+    """Misread words, and abbreviations whose dot came with a backslash before a word."""
     for wrong, right in lex.INDONESIAN_WORDS:
         x = d.words(x, wrong, right)
+    for short in lex.INDONESIAN_SHORT:
+        x = d.rr(x, rf"(^|[^{WORD}]){short}\\\.([{WORD}])", f"$1{short}.$2")
     return x
 
 

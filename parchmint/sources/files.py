@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession

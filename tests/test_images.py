@@ -183,3 +183,20 @@ def test_engine_adapters(monkeypatch):
     text, confidence, method = fresh["easyocr"].process(image, "eng+ind")
     assert (text, round(confidence, 6), method) == ("left right\nen+id", 70.0, "detail")
     assert fresh["paddleocr"].process(image, "eng") == ("said", 25.0, "ocr")
+
+
+def test_process_directory(spark, tmp_path):
+    """A folder of files in; results and one report for each readable file out."""
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    (tmp_path / "in" / "one.png").write_bytes(row_queries.drawn(3, "document"))
+    (tmp_path / "in" / "deep" / "two.jpg").write_bytes(b"broken")
+    (tmp_path / "in" / "three.pdf").write_bytes(b"%PDF")
+    (tmp_path / "in" / "notes.txt").write_bytes(b"not taken")
+    own = {"easyocr": engines.Engine("easyocr", (), reader("The key result must be read from this page without any doubt at all.", 88.0))}
+    out = str(tmp_path / "out")
+    found = {r.filename: r.status for r in process.process_directory(spark, str(tmp_path / "in"), out, "2024-01-31 00:00:00", own).collect()}
+    assert found == {"one.png": "success", "two.jpg": "error", "three.pdf": "error"}
+    assert {r.filename for r in files.list_markdown(spark, f"{out}/markdown").collect()} == {"one.md"}
+    text = "\n".join(r.value for r in files.read_markdown(spark, f"{out}/markdown", "one.md").collect())
+    assert "# OCR Results: one.png" in text and "The key result must be read" in text
+    assert {r.status for r in spark.read.json(f"{out}/results").collect()} == {"success", "error"}

@@ -55,6 +55,7 @@ def test_typed_repairs(spark):
     assert both(spark, "SHOP\nITEMS\nMilk 2 x 3\nTea\nTOTAI 9", *steps_) == "SHOP\nITEMS\nMilk: 2 x $3\nTea\nTOTAL: $9"
     assert both(spark, "Name Budi\nNIK 3201234567890123\ntgl 1/2/99", fixed(repair.id_card)) == "NAMA: Budi\nNIK: 3201 2345 6789 0123tgl 01-02-99"
     assert both(spark, "[x] yes [ ] no", fixed(repair.form)) == "☑ yes ☐ no"
+    assert both(spark, "KAB\\.BOGOR KEL\\.a KEC\\. x Narna", fixed(repair.indonesian_words)) == "KAB.BOGOR KEL.a KEC\\. x Nama"
     assert both(spark, "5/6/49 40/1/2000 05.06.51", fixed(repair.indonesian_dates)) == "05-06-2049 40/1/2000 05-06-1951"
     assert both(spark, "tbe tbe,ofthe_ x-arid ca11 frorntbe", fixed(repair.common_words)) == "the the,ofthe_ x-and call from the"
     assert both(spark, "tbe  lineIine rnay 1O2", fixed(repair.cleaned)) == "the line Iine may 102"
