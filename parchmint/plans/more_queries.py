@@ -53,11 +53,11 @@ def m6_key_values(d: Dialect) -> str:
 
 def m1_report(d: Dialect) -> str:
     """The text pipeline's last step: documents repaired, described and rendered."""
-    fixed = f"(SELECT doc_id, {repair.repaired(d, 'text')} AS text FROM {_docs(d)})"
     filename = f"'doc' || {d.cast('doc_id', d.text)} || '.png'"
+    fixed = d.stage(f"SELECT doc_id, lang AS language, {repair.repaired(d, 'text')} AS text FROM {d.table('documents')}")
+    told = d.stage(f"SELECT r.doc_id AS doc_id, r.text AS text, r.language AS language, s.summary AS summary FROM {fixed} r LEFT JOIN ({summary.summaries(d, f'(SELECT doc_id, text FROM {fixed})')}) s ON r.doc_id = s.doc_id")
     rows = steps(
-        f"(SELECT r.doc_id AS doc_id, r.raw AS raw, r.language AS language, s.summary AS summary FROM (SELECT doc_id, text AS raw, lang AS language FROM {d.table('documents')}) r LEFT JOIN ({summary.summaries(d, fixed)}) s ON r.doc_id = s.doc_id)",
-        ("text", repair.repaired(d, "raw")),
+        told,
         ("lines_", layout.lines_of(d, "text")),
         ("structure", layout.structure(d, "text", "lines_")),
         ("filename", filename),
