@@ -13,6 +13,7 @@ allowed. Equal URLs get equal verdicts. Extra columns are kept.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -160,6 +161,12 @@ def trained(table: Iterable[tuple[str, str]] | None = None, rules: Iterable[tupl
     return Filter(by_host, w.astype(np.float32), bias)
 
 
+@functools.cache
+def standard() -> Filter:
+    """The filter of the table and rules of this module, trained once a process."""
+    return trained()
+
+
 RESULTS = ("host", "path", "rule", "score", "verdict")
 
 
@@ -167,7 +174,7 @@ RESULTS = ("host", "path", "rule", "score", "verdict")
 def filtered(pages: DataFrame, model: Filter | None = None) -> DataFrame:
     """pages with host, path, rule, score and verdict added."""
     scratch(pages.sparkSession, "url_filter")
-    shared = pages.sparkSession.sparkContext.broadcast(model or trained())
+    shared = pages.sparkSession.sparkContext.broadcast(model or standard())
     new = RESULTS
     names = [c for c in pages.columns if c not in new]
     rows = pages.select(*[pages[c] for c in names], pages["url"].cast("string").alias("_url"))
