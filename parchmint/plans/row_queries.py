@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,20 +50,31 @@ def drawn(key: int, image_type: str) -> bytes:
     return b"P5\n%d %d\n255\n" % (w, h) + g.tobytes()
 
 
-def p_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Perspective, rotation and card clean-up of a drawn page for each nation, types dealt in turn."""
-    names = ("natural", "document", "id_card", "receipt")
+#: Types that drawn pages have in turn.
+DRAWN = ("natural", "document", "id_card", "receipt")
+
+
+def drawn_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_id, strategy, content): a drawn page for each nation, types dealt in turn."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            kinds = [DRAWN[k % len(DRAWN)] for k in pdf["image_id"]]
+            yield pd.DataFrame({"image_id": pdf["image_id"], "strategy": kinds, "content": [drawn(k, kind) for k, kind in zip(pdf["image_id"], kinds, strict=True)]})
+
     nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("image_id"))
-    dealt = nations.withColumn("strategy", F.element_at(F.array(*map(F.lit, names)), (F.col("image_id") % len(names) + 1).cast("int")))
-    images = dealt.withColumn("content", F.udf(drawn, "binary")("image_id", "strategy"))
-    return variants.image_corrections(images).select("image_id", "ord", F.col("variant").alias("step"), "height", "width", "brightness", "contrast", F.md5("data").alias("data_md5"))
+    return nations.mapInPandas(run, "image_id long, strategy string, content binary")
+
+
+def p_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perspective, rotation and card clean-up of drawn pages."""
+    return variants.image_corrections(drawn_nations(spark, sf_dir)).select("image_id", "ord", F.col("variant").alias("step"), "height", "width", "brightness", "contrast", F.md5("data").alias("data_md5"))
 
 
 def drawn_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(image_id, filename, content): a drawn page for each nation, and one file that isn't an image."""
-    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("key"))
-    kind = F.element_at(F.array(*map(F.lit, ("natural", "document", "id_card", "receipt"))), (F.col("key") % 4 + 1).cast("int"))
-    pages = nations.select(F.concat(F.lit("page"), "key").alias("image_id"), F.concat(F.lit("page"), "key", F.lit(".pgm")).alias("filename"), F.udf(drawn, "binary")("key", kind).alias("content"))
+    name = F.concat(F.lit("page"), "image_id")
+    pages = drawn_nations(spark, sf_dir).select(name.alias("image_id"), F.concat(name, F.lit(".pgm")).alias("filename"), "content")
     return pages.unionByName(spark.createDataFrame([("broken", "broken.png", bytearray(b"no image"))], "image_id string, filename string, content binary"))
 
 
