@@ -27,13 +27,8 @@ def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The variants of every strategy for every picture."""
-    names = list(variants.STRATEGIES)
-    crossed = pictures(spark, sf_dir).withColumn("which", F.explode(F.array(*map(F.lit, names))))
-    # A picture's strategies are pictures of their own: image_id * number of strategies + place.
-    one = crossed.withColumns({"strategy": F.col("which"), "image_id": F.col("image_id") * len(names) + F.array_position(F.array(*map(F.lit, names)), F.col("which")) - 1})
-    found = variants.image_variants(one.repartition(spark.sparkContext.defaultParallelism * 2))
-    which = F.element_at(F.array(*map(F.lit, names)), (F.col("image_id") % len(names) + 1).cast("int"))
-    return found.select(F.floor(F.col("image_id") / len(names)).alias("image_id"), which.alias("strategy"), "ord", "variant", "height", "width", "brightness", "contrast", F.md5("data").alias("data_md5"))
+    found = variants.every_variant(pictures(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism * 2))
+    return found.select("image_id", "strategy", "ord", "variant", "height", "width", "brightness", "contrast", F.md5("data").alias("data_md5"))
 
 
 def drawn(key: int, image_type: str) -> bytes:

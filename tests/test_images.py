@@ -3,6 +3,7 @@
 from datetime import datetime
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from parchmint.functions import kernels as k
@@ -200,3 +201,22 @@ def test_process_directory(spark, tmp_path):
     text = "\n".join(r.value for r in files.read_markdown(spark, f"{out}/markdown", "one.md").collect())
     assert "# OCR Results: one.png" in text and "The key result must be read" in text
     assert {r.status for r in spark.read.json(f"{out}/results").collect()} == {"success", "error"}
+
+
+@pytest.mark.parametrize("shape", [(8, 8), (3, 7), (20, 31)])
+def test_stacks(shape):
+    """A stack gives each image the very variants that it has alone, and shares work among strategies."""
+    h, w = shape
+    rng = np.random.default_rng(1)
+    sheet = np.where((np.arange(h)[:, None] > h // 5) & (np.arange(h)[:, None] < h * 4 // 5) & (np.arange(w) > w // 6) & (np.arange(w) < w * 5 // 6), 240, 20)
+    images = [rng.integers(0, 256, shape), rng.integers(0, 90, shape), np.full(shape, 7), np.full(shape, 255), sheet, rng.integers(200, 256, shape)]
+    images = [g.astype(np.uint8) for g in images]
+    content = [b"P5\n%d %d\n255\n" % (w, h) + g.tobytes() for g in images]
+    found = pd.concat(variants._of_every_strategy(pd.DataFrame({"image_id": range(len(images)), "content": content})))
+    columns = ["ord", "variant", "height", "width", "brightness", "contrast", "data"]
+    for strategy in variants.STRATEGIES:
+        by_row = variants._with_variants(pd.DataFrame({"image_id": range(len(images)), "strategy": strategy, "content": content}))
+        for i, g in enumerate(images):
+            alone = [(j, name, *x.shape, float(x.mean()), float(x.std()), x.tobytes()) for j, (name, x) in enumerate(variants.variants(g, strategy))]
+            for rows in (found[(found["strategy"] == strategy) & (found["image_id"] == i)], by_row[by_row["image_id"] == i]):
+                assert [tuple(r) for r in rows[columns].itertuples(index=False)] == alone
