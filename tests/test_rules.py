@@ -8,7 +8,7 @@ import pytest
 from parchmint.functions import layout
 from parchmint.functions import lexicons as lex
 from parchmint.operators import images
-from parchmint.plans import more_fixtures, registry
+from parchmint.plans import more_fixtures, more_queries, registry
 from parchmint.plans.dialect import Spark
 from tests.conftest import SF
 from tests.test_text import LINES, both
@@ -166,3 +166,28 @@ def test_layouts_by_hand(spark):
     assert both(spark, "Prices\nname|qty\nmilk |  2\nend of it", *table) == "name | qty\n----|---\nmilk | 2"
     assert both(spark, "no table here", *table) == "no table here"
     assert both(spark, "a|b", *table) == "a | b"
+
+
+def test_scans_are_made_once(spark, monkeypatch):
+    """Receipts are joined once, not for each engine's readings, the fallbacks and the results."""
+    asked = []
+    stage = Spark.stage
+    monkeypatch.setattr(Spark, "stage", lambda self, query: asked.append(query) or stage(self, query))
+    final = more_queries.process_texts(Spark(SF, 0, spark))
+    assert sum("lineitem.parquet" in q for q in [*asked, final]) == 1
+
+
+def test_quick_forms(spark):
+    """Spark's own forms of stripping, joining of broken words and dropping of held lines, against plain Python."""
+    d = Spark()
+    texts = ["a-\nb-\nc d-\ne", "-\na", "x -\ny", "é-\nß_-\n1", "　\x85 a\x1c", "​ a\n", "a  b   c", ""]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i long, x string")
+    frame.createOrReplaceTempView("quick_forms")
+    rows = spark.sql(f"SELECT x, {d.strip('x')} AS s, {d.hyphens_joined('x')} AS h, {d.one_space('x')} AS o FROM quick_forms").collect()
+    assert [r.s for r in rows] == [x.strip() for x in texts]
+    assert [r.h for r in rows] == [re.sub(r"(\w+)-\n(\w+)", r"\1\2", x) for x in texts] and [r.o for r in rows] == [re.sub(" +", " ", x) for x in texts]
+    lines = ["abcd", "BC", "x\ny", "cd\nab", "d\nx", "", "Q"]
+    kept = []
+    for v in lines:
+        kept += [v] * (not any(v.lower() in m.lower() for m in kept))
+    assert spark.sql(f"SELECT {d.kept_lines(d.array(*map(d.lit, lines)))} AS k").first().k == kept
