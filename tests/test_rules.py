@@ -168,12 +168,13 @@ def test_layouts_by_hand(spark):
     assert both(spark, "a|b", *table) == "a | b"
 
 
-def test_scans_are_made_once(spark, monkeypatch):
+@pytest.mark.parametrize("query", [more_queries.process_texts, more_queries.process_reports])
+def test_scans_are_made_once(spark, monkeypatch, query):
     """Receipts are joined once, not for each engine's readings, the fallbacks and the results."""
     asked = []
     stage = Spark.stage
     monkeypatch.setattr(Spark, "stage", lambda self, query: asked.append(query) or stage(self, query))
-    final = more_queries.process_texts(Spark(SF, 0, spark))
+    final = query(Spark(SF, 0, spark))
     assert sum("lineitem.parquet" in q for q in [*asked, final]) == 1
 
 
