@@ -5,9 +5,9 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from parchmint.functions import layout
+from parchmint.functions import language, layout, repair
 from parchmint.functions import lexicons as lex
-from parchmint.operators import images
+from parchmint.operators import arbitration, images, process, summary
 from parchmint.plans import more_fixtures, more_queries, registry
 from parchmint.plans.dialect import Spark
 from tests.conftest import SF
@@ -192,3 +192,83 @@ def test_quick_forms(spark):
     for v in lines:
         kept += [v] * (not any(v.lower() in m.lower() for m in kept))
     assert spark.sql(f"SELECT {d.kept_lines(d.array(*map(d.lit, lines)))} AS k").first().k == kept
+
+
+@pytest.mark.parametrize("query", ["t2_receipt_repair", "e3_receipt_items", "m4_table"])
+def test_lists_are_made_once_a_text(spark, query):
+    """Places of sections and of a table's rule aren't looked for again at each line of a text."""
+    plan = registry.queries()[query](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"array_max\(filter\(filter\(transform\(|= coalesce\((?:get\()?filter\(", plan)
+
+
+@pytest.mark.parametrize("brief", [0, 1000])
+def test_summaries_in_rows(spark, monkeypatch, brief):
+    """Summaries within a row are those of the plan that explodes words, with words counted either way."""
+    monkeypatch.setattr(summary, "BRIEF", brief)
+    told = "The main point is here. A b! Next one has more words than others? " * 2
+    texts = [None, "", "short", "x" * 99, "x" * 100, "?" * 120, told, told + "İSTANBUL ÉCOLE the the word1 a_b. " + "k " * 60, "One same line here. " * 9, "a. b. c. d. e. f. g. h. " * 6, "  \n\x85 " * 40, "Kelvin K result " * 40, "the of and " * 20, "Long sentence without any end " * 30]
+    d = Spark()
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    frame.createOrReplaceTempView("brief_texts")
+    found = dict(map(tuple, spark.sql(f"SELECT doc_id, {summary.in_row(d, 'text')} FROM brief_texts").collect()))
+    assert found == dict(map(tuple, spark.sql(summary.summaries(d, "brief_texts")).collect()))
+    assert found == {i: (summarised(t, 200, "concise") if len(t or "") >= 100 else t or "") if len(summarised(t or "", 200, "concise")) <= 200 or len(t or "") < 100 else summarised(t, 200, "concise")[:197] + "..." for i, t in enumerate(texts)}
+
+
+def test_languages_by_runs_of_letters(spark):
+    """Letters counted by runs, verbs looked for where a text holds them: the same languages as letter by letter."""
+    texts = [None, "", "word " * 5, "слово " * 5, "a б" * 9, "1234 " * 6, "𝒜𝒷 x" * 6, "akan 1 telah_ x akan y dan yang", "wakan datang " * 3, "have you will be there the is are and for that", "ünï cödé ñandú çà élève"]
+    names = [n for n, _ in language.language_steps(Spark(), "text")]
+    found = [both(spark, t, *((n, lambda d, n=n: dict(language.language_steps(d, "text"))[n]) for n in names)) for t in texts]
+    assert set(found) == {"unknown", "latin", "non-latin", "en", "id"}
+    assert "letters_" not in dict(language.language_steps(Spark(), "text"))["plain_"]
+
+
+def test_repairs_of_what_is_there(spark):
+    """Patterns that go over some texts only, against plain Python."""
+    texts = ["", "1l2O3 lI1 I1I1I1 B8S5Z2 9S", "''x,,y''' `q` ,,,", "a - b* c•\n·  d+e ‣ \x85f", "a😀b 1😀l2", "noDigits4u 12ab", "TOTAI xTOTAI TOTAI_ SUBTOTAI THANI< YOU, PMT"]
+
+    def basic(x):
+        x = re.sub("[\U00010000-\U0010ffff]", "", x)
+        x = re.sub(r"[*+\-‣▪•●·]\s+", "• ", re.sub(r"''|,,", '"', x).replace("`", "'"))
+        for letter, digit in repair.DIGIT_TWINS.items():
+            x = re.sub(rf"(?<=\d){letter}(?=\d)", digit, x)
+        for pattern in (r"(?<=[a-z])(?=[A-Z])", r"(?<=[a-zA-Z])(?=\d)", r"(?<=\d)(?=[a-zA-Z])"):
+            x = re.sub(pattern, " ", x)
+        return re.sub(r"([.!?,:;])([A-Z0-9])", r"\1 \2", re.sub(" +", " ", x))
+
+    def amended(x):
+        for wrong, right in lex.RECEIPT_WORDS:
+            x = re.sub(rf"(?<!\w){re.escape(wrong)}(?!\w)", right, x)
+        return x
+
+    for t in texts:
+        assert both(spark, t, ("x", lambda d: repair.basic(d, "text"))) == basic(t)
+        assert both(spark, t, ("x", lambda d: repair.receipt_amounts(d, "text"))) == amended(t)
+    shares = [both(spark, t, ("x", lambda d: arbitration.share_of_signs(d, "text"))) for t in [*texts, "-- ## !", "ab c.d　é"]]
+    assert shares == [sum(not c.isalnum() for c in "".join(t.split())) / max(1, len("".join(t.split()))) for t in [*texts, "-- ## !", "ab c.d　é"]]
+
+
+def test_readings_as_lists(spark):
+    """Readings in lists of their scan are arbitrated as those in rows are, without an exchange of theirs."""
+    plain = Spark(SF, 0, spark)
+    scans = plain.once(more_fixtures.scans(plain))
+    rows_ = process.arbitrated(plain, more_fixtures.scan_candidates(plain, scans), more_fixtures.scan_fallbacks(plain, scans))
+    lists = spark.sql(process.arbitrated_lists(plain, more_fixtures.scans_read(plain, scans)))
+    assert "Exchange" not in lists._jdf.queryExecution().sparkPlan().toString()
+    found = sorted(((r.image_id, r.engine, r.raw, r.confidence) for r in lists.collect() if r.engine is not None), key=str)
+    assert found == sorted((tuple(r) for r in spark.sql(f"SELECT image_id, engine, text, confidence FROM ({rows_})").collect()), key=str)
+    assert {"merged_engines", "fallback_scaled_2_psm11"} <= {e for _, e, _, _ in found}
+
+
+@pytest.mark.parametrize(("process_query", "n"), [(more_queries.process_texts, 1), (more_queries.process_reports, 1)])
+def test_spent_stages_are_removed(spark, monkeypatch, process_query, n):
+    """Of the stages of results, those that later ones were made of are gone."""
+    made, dropped = [], []
+    stage, spent = Spark.stage, Spark.spent
+    monkeypatch.setattr(Spark, "stage", lambda self, query: made.append(stage(self, query)) or made[-1])
+    monkeypatch.setattr(Spark, "spent", lambda self, *stages: dropped.extend(stages) or spent(self, *stages))
+    query = process_query(Spark(SF, 0, spark))
+    left = [s for s in made if s not in dropped]
+    assert len(left) == n and left[-1] in query and not any(s in query for s in dropped)
+    assert spark.sql(query).count() > 0
