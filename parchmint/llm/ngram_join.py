@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parchmint.llm.common import NULL_ID, SPACE, bytes_of, id_or_least, keeping, per_batch, released, saved, scratch
+from parchmint.llm.common import NULL_ID, SPACE, bytes_of, driver_released, id_or_least, keeping, per_batch, released, saved, scratch
 from parchmint.llm.components import components
 from parchmint.llm.segments import summed
 from parchmint.llm.shingles import WordHashes, shingle_set
@@ -241,9 +241,10 @@ def near_classes(docs: DataFrame, percent: int = 80) -> DataFrame:
     spread = expanded.groupBy("hub", "first").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     centres = spread.select("hub", F.col("first").alias("v"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("centre"))
     others = expanded.join(spread.select("hub", "blocks"), "hub").select("hub", "v", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("centre"))
+    driver_released(spark)
     links = saved(verified(centres.union(others).join(sets, "v"), ("hub", "block"), star, percent), f"{path}/links")
     # What one class links is one root; unequal roots may still be linked.
-    roots = saved(links.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("root")), f"{path}/roots")
+    roots = links.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("root"))
     own = saved(classes.join(roots, "v", "left").select("g", "v", F.coalesce("root", "v").alias("root")), f"{path}/own")
     # What is open: two roots beside the hub's first class.
     ends = (F.min("root").alias("least"), F.max("root").alias("most"))
@@ -256,9 +257,11 @@ def near_classes(docs: DataFrame, percent: int = 80) -> DataFrame:
     inside = many.join(beside.where("least < most"), "g", "left_semi").select("hub", "g")
     clusters = left.union(inside).distinct().join(own, "g").join(heads, "hub").where("v <> first").select("hub", "v", "root")
     dealt = blocked(saved(clusters, f"{path}/clusters"))
+    driver_released(spark)
     more = verified(dealt.join(sets, "v"), ("hub", "i", "j"), linked, percent)
     roots = components(saved(links.unionByName(more).distinct(), f"{path}/all_links"))
     of_class = classes.join(roots, "v", "left").select("v", "id", "th", F.coalesce("root", "v").alias("root"))
+    driver_released(spark)
     least = of_class.groupBy("root").agg(F.min(F.struct("id", "th")).alias("head"))
     named = saved(of_class.join(least, "root").select("v", "head"), f"{path}/named")
     return rows.select("id", "v", "n").join(named, "v", "left").select("id", "v", "n", F.coalesce("head.id", "id").alias("component"), "head")

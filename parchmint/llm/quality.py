@@ -130,7 +130,8 @@ def fitted(rows: np.ndarray, labels: np.ndarray, share: float) -> Model:
     del x, left
     ones = (labels == 1).mean()
     model = Model(weights, basis, np.zeros((0, 1)), labels, share, 1.0)
-    model.vectors = model.latent(rows)
+    # By blocks: all rows at once, in double precision, are twice what the sample itself takes.
+    model.vectors = np.concatenate([model.latent(rows[start : start + BLOCK]) for start in range(0, len(rows), BLOCK)])
     model.balance = float(np.clip(share, 0.01, 0.99) / (1 - np.clip(share, 0.01, 0.99)) / (ones / (1 - ones)))
     return model
 
