@@ -9,7 +9,7 @@ from parchmint.functions import language, layout, repair
 from parchmint.functions import lexicons as lex
 from parchmint.operators import arbitration, images, process, summary
 from parchmint.plans import more_fixtures, more_queries, registry
-from parchmint.plans.dialect import Spark
+from parchmint.plans.dialect import WS, Spark, steps
 from tests.conftest import SF
 from tests.test_text import LINES, both
 
@@ -272,3 +272,49 @@ def test_spent_stages_are_removed(spark, monkeypatch, process_query, n):
     left = [s for s in made if s not in dropped]
     assert len(left) == n and left[-1] in query and not any(s in query for s in dropped)
     assert spark.sql(query).count() > 0
+
+
+def test_stages_are_read_by_many_tasks(spark):
+    """One large file of a stage is dealt to several tasks of the next; the session's own setting comes back."""
+    d, key = Spark(SF, 0, spark), "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    one = d.stage("SELECT /*+ COALESCE(1) */ id, sha2(CAST(id AS string), 256) AS x FROM range(300000)")
+    two = d.stage(f"SELECT * FROM {one}")
+    sizes = [r.n for r in spark.sql(f"SELECT count(*) AS n FROM {two} GROUP BY input_file_name()").collect()]
+    assert sum(sizes) == 300000 and max(sizes) < 150000
+    assert spark.conf.get(key) == before
+
+
+def test_receipt_lines_at_once(spark):
+    """The parts of an item line, found in one match, are those of three; a mark in the text changes nothing."""
+    lines = ["ITEMS", "cold plate 2 10.50", "tea  12", "x ,5 rest", "milk x 3.00", "milk 2 @ 3", "no amount", "", "a\u0001b 3 4.00", "\u0001\u0001", "9", "TOTAL 3", "after 1 2"]
+    text = "\n".join(lines)
+
+    def each(d):
+        held = steps(f"(SELECT {d.split('text', chr(10))} AS ls_, text FROM docs)", *repair.section_steps(d, "ls_", repair.RECEIPT_BEGIN, repair.RECEIPT_END))
+        return f"SELECT {d.join(repair.receipt_lines(d, 'ls_'), chr(10))} AS x FROM {held}"
+
+    spark.createDataFrame([(text,)], "text string").createOrReplaceTempView("docs")
+    found = spark.sql(each(Spark())).first().x.split("\n")
+
+    def item(v):
+        m = re.match(r"([^\n]+?)(?:\s+([0-9]+))?(?:\s+(?:x|@)\s+)?([0-9.,]+)", v)
+        return f"{m[1].strip()}: {m[2] or '1'} x ${m[3]}" if m else v
+
+    assert found == [lines[0], *map(item, lines[1:11]), *lines[11:]]
+    assert "[\\s\\S]*" in each(Spark()).replace("\\\\", "\\")
+
+
+def test_insights_of_texts_with_marks(spark):
+    """Sentences are searched in texts that hold a mark; every marker's sentence holds one, nulls stay null."""
+    texts = ["It MUST go. A b. C d.", "The key to this is a FACT! So. On.", "in  Summary, yes. No. So.", "To summarize: x. y. z.", "concluding. a. b.", "We need to go. a. b.", "They have to. a. b.", "reducED prices. a. b.", "plain. words. only.", "one", ""]
+    for t in [None, *texts]:
+        got = both(spark, t, *((n, lambda d, n=n: dict(summary.insights(d, "text"))[n]) for n, _ in summary.insights(Spark(), "text")))
+        if t is None:
+            assert got is None
+        else:
+            sents = re.split(r"(?<=[.!?])\s+", t)
+            hits = [s for s in sents if any(re.search(p.replace(WS, r"\s"), s) for p in summary.INSIGHTS)][:5]
+            more = [x for x in dict.fromkeys((sents[0], sents[-1])) if x not in hits] if len(hits) < 2 and len(sents) > 2 else []
+            assert got == hits + more
+    assert "cause" in dict(summary.insights(Spark(), "text"))["found_"].split("filter")[0]
